@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut
+
 #: Unit codes of uom_codes and the ways they are written (letters and digits only, lower case).
 COUNT_WORDS = {
     "EA": ("ea", "each"),
@@ -308,4 +310,5 @@ def converted(decoded: DataFrame) -> DataFrame:
 def convert_units(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: DataFrame) -> DataFrame:
     """src_table, line_id, measure, amount_milli of every recorded value that is not in base units; see ``converted``."""
     sizes = unit_sizes(uom_codes)
-    return converted(decode_units(readings(invoice_lines, shipped_lines, sizes), sizes))
+    # the patterns of the readings run once, not once for the level and once for the chains
+    return converted(decode_units(cut(readings(invoice_lines, shipped_lines, sizes)), sizes))
