@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import address, leakage, reading
+from ledgerlens.llm import address, entity_match, leakage, packing, reading
 from ledgerlens.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, t) for t in ("claim_lines", "invoices", "invoice_lines", "shipped_lines")]
+    return entity_match.match_items(*tables).select("claim_line_id", "target_table", "target_line_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select("ship_to").withColumnRenamed("ship_to", "text") for t in ("invoices", "bols")]
     return address.same_places(texts[0].unionByName(texts[1]))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(packing.token_sizes(table(spark, sf_dir, "documents")))
+
+
+def p6_container_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_report(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -21,6 +34,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_containers": p6_containers, "p6_container_report": p6_container_report, "p7_found": p7_found, "p8_found": p8_found}
 
 ORACLES: dict[str, str] = {}
