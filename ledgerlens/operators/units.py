@@ -95,19 +95,20 @@ _NUM = r"(\d[\d,]*(?:\.\d+)?)"
 _WORD = r"\s?([A-Za-z](?:[A-Za-z.]| (?=[A-Za-z]))*)?"
 _BUNDLE = r"\s?(\d+[ -]?[A-Za-z]+|[A-Za-z](?:[A-Za-z.]| (?=[A-Za-z]))*(?:\d+ [A-Za-z]+| ?x \d+)?)?"
 
-#: The printed rows of a bill of lading: (pattern, group of the count's unit, group of the weight's unit).
+#: The printed rows of a bill of lading: (mark that only this layout has, pattern, group of the
+#: count's unit, group of the weight's unit). The last layout has no mark.
 PRINTED_ROWS = (
-    (rf"^\s*{_NUM}{_BUNDLE}\s*\|.*\|\s*wt\s*{_NUM}{_WORD}\s*\|", 2, 4),
-    (rf"\blot\s+\S+\s\s+{_NUM}{_BUNDLE}\s\s+{_NUM}{_WORD}(?:\s\s+\S+)?\s*$", 2, 4),
-    (rf"\s\d{{6,}}\s{_NUM}{_WORD}\s{_NUM}{_BUNDLE}(?:\s\S+)?\s*$", 4, 2),
+    ("|", rf"^\s*{_NUM}{_BUNDLE}\s*\|.*\|\s*wt\s*{_NUM}{_WORD}\s*\|", 2, 4),
+    (" lot ", rf"\blot\s+\S+\s\s+{_NUM}{_BUNDLE}\s\s+{_NUM}{_WORD}(?:\s\s+\S+)?\s*$", 2, 4),
+    ("", rf"\s\d{{6,}}\s{_NUM}{_WORD}\s{_NUM}{_BUNDLE}(?:\s\S+)?\s*$", 4, 2),
 )
 
 
 def units_in_printed_row(raw: Column) -> tuple[Column, Column]:
     """Units of (count, weight) as printed in a shipped line; null where none is printed."""
     count = weight = None
-    for pattern, c, w in PRINTED_ROWS:
-        hit = raw.rlike(pattern)
+    for mark, pattern, c, w in PRINTED_ROWS:
+        hit = raw.contains(mark)
         count = (F.when if count is None else count.when)(hit, F.regexp_extract(raw, pattern, c))
         weight = (F.when if weight is None else weight.when)(hit, F.regexp_extract(raw, pattern, w))
     known = lambda c: F.when(c != "?", c)
