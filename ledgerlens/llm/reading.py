@@ -48,10 +48,8 @@ def sentence_words(text: str, least: int) -> list[list[str]]:
     return [w for s in _SENTENCE.split(t) if len(w := _WORD.findall(s)) >= least]
 
 
-def _pack(sentences: list[np.ndarray]) -> bytes:
-    sizes = np.array([len(x) for x in sentences], dtype=np.int32)
-    flat = np.concatenate(sentences).astype(np.int32) if len(sentences) else np.zeros(0, np.int32)
-    return zlib.compress(np.int32(len(sizes)).tobytes() + sizes.tobytes() + flat.tobytes(), 1)
+def _pack(sizes: list[int], flat: list[int]) -> bytes:
+    return zlib.compress(np.array([len(sizes), *sizes, *flat], dtype=np.int32).tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -69,25 +67,27 @@ def document_word_graph(documents: DataFrame, grades: DataFrame, s: ReadingSetti
 
     def build(batches):
         known: dict[str, int] = {}
+        get = known.get
         for pdf in batches:
-            blobs = []
+            blobs, n_words = [], []
             for t in pdf["text"]:
-                out = []
-                for ws in sentence_words(t or "", s.least_words):
-                    ids = []
-                    for w in set(ws):
-                        k = known.get(w)
-                        if k is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            k = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % nodes
-                        ids.append(k)
-                    out.append(np.array(ids, dtype=np.int32))
-                blobs.append(_pack(out))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "edges": blobs})
-
-    words = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
-    texts = documents.where((F.col("lang") == "en") & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", words.alias("n_words"))
+                sizes, flat = [], []
+                for ws in sentence_words(t, s.least_words):
+                    ws = set(ws)
+                    ids = [get(w) for w in ws]
+                    if None in ids:
+                        if len(known) > 500_000:
+                            known.clear()
+                        for w in ws:
+                            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % nodes
+                        ids = [get(w) for w in ws]
+                    sizes.append(len(ids))
+                    flat += ids
+                blobs.append(_pack(sizes, flat))
+                n_words.append(len(t.split()))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "edges": blobs})
+
+    texts = documents.where((F.col("lang") == "en") & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     mean = grades.where(F.col("reading_level").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("reading_level").alias("grade"))
     return cut(texts.mapInPandas(build, "doc_id long, n_words int, edges binary").join(mean, "doc_id", "left"))
 
