@@ -308,7 +308,8 @@ def places(texts: DataFrame) -> DataFrame:
     def keyed(batches):
         for pdf in batches:
             pdf = pdf.assign(key=[block_keys(r) for r in pdf[_FIELDS].to_dict("records")]).explode("key").dropna(subset=["key"])
-            yield pdf[["key", "sig", "anchored", *_FIELDS]]
+            if len(pdf):
+                yield pdf[["key", "sig", "anchored", *_FIELDS]]
 
     keys = sigs.mapInPandas(keyed, f"key string, sig long, anchored boolean, {PARTS}")
     a = keys.select("key", *(F.col(c).alias(f"a_{c}") for c in ("sig", "anchored", *_FIELDS)))
@@ -320,7 +321,9 @@ def places(texts: DataFrame) -> DataFrame:
             x = pdf[[f"a_{f}" for f in _FIELDS]].rename(columns=lambda c: c[2:]).to_dict("records")
             y = pdf[[f"b_{f}" for f in _FIELDS]].rename(columns=lambda c: c[2:]).to_dict("records")
             score = [assignment(p, q) for p, q in zip(x, y)]
-            yield pd.DataFrame({"a": pdf["a_sig"], "b": pdf["b_sig"], "hard": pdf["a_anchored"] & pdf["b_anchored"], "score": score})[[s >= LEAST for s in score]]
+            out = pd.DataFrame({"a": pdf["a_sig"], "b": pdf["b_sig"], "hard": pdf["a_anchored"] & pdf["b_anchored"], "score": score})
+            if len(out := out[out["score"] >= LEAST]):
+                yield out
 
     links = cut(pairs.mapInPandas(judge, "a long, b long, hard boolean, score double"))
     strong = components(sigs.where("anchored").select(F.col("sig").alias("node")), links.where("hard"))

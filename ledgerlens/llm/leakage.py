@@ -2,17 +2,20 @@
 
 Every document becomes one row of postings: the positions of each of its tokens that occur in any
 test item, grouped by term (an index partitioned by document, so that no term, however frequent,
-is one group). Identical postings are stored once. Per test passage the lists are intersected from
-the rarest terms on: positions minus item positions must agree within a slack, and what agrees is
-weighed by rarity in the corpus, so that wording that many documents share proves nothing.
+is one group). The postings of identical texts are read once. Per test passage the lists are
+intersected from the rarest terms on: positions minus item positions must agree within a slack,
+and what agrees is weighed by rarity in the corpus and among the items, so that wording that many
+documents or items share proves nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import unicodedata
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,17 +33,21 @@ _JOIN = re.compile(r"(?<=\d)[,.:](?=\d)|-[ \t]*\n[ \t]*(?=[^\W\d_])")
 class LeakageSettings:
     """window: tokens of the passage that must match. common_nats: rarity up to which a term weighs
     next to nothing. share: least rarity-weighted share of a window
-    that is found in order. near: slack of positions for inserted or dropped words. rare_share: a
-    term in more than this share of the distinct documents is no rare term. rare_hits: least number
+    that is found in order. least_nats: least sum of the weights that are found. near: slack of positions for inserted or dropped words. rare_share: a
+    term in more than this share of the distinct documents is no rare term, but for ``rare_least``;
+    item_share, item_least: the same over the items. rare_hits: least number
     of rare terms of one window that are found. block_items: test items per pass, which bounds the
     vocabulary that a worker holds."""
 
     window: int = 15
     common_nats: float = 3.0
     share: float = 0.85
+    least_nats: float = 5.0
     near: int = 4
-    rare_share: float = 0.005
-    rare_least: int = 25
+    rare_share: float = 0.02
+    rare_least: int = 10
+    item_share: float = 0.05
+    item_least: int = 2
     rare_hits: int = 2
     block_items: int = 20_000
 
@@ -80,43 +87,55 @@ def passage_share(term, at, item, weight, rare, s: LeakageSettings) -> float:
     """
     n = len(item)
     lo, hi = np.searchsorted(term, item, "left"), np.searchsorted(term, item, "right")
-    anchors = [(j, int(p) - j) for j in np.flatnonzero(rare[item]) for p in at[lo[j] : hi[j]]]
-    if len({j for j, _ in anchors}) < min(s.rare_hits, n):
+    js = np.flatnonzero(rare[item] & (hi > lo))
+    if len(js) < min(s.rare_hits, n):
         return 0.0
+    # anchors: rare terms by their diagonal; neighbours on it prove a passage
+    j_of = np.repeat(js, hi[js] - lo[js])
+    diagonal = np.concatenate([at[lo[j] : hi[j]] for j in js]).astype(np.int64) - j_of
+    order = np.lexsort((j_of, diagonal))
+    j_of, diagonal = j_of[order], diagonal[order]
+    left = np.searchsorted(diagonal, diagonal - s.near, "left")
+    right = np.searchsorted(diagonal, diagonal + s.near, "right")
     found = np.zeros(n, dtype=bool)
-    for off in {o for _, o in anchors}:
-        on = [j for j, o in anchors if abs(o - off) <= s.near]
-        if len(set(on)) < 2:  # one rare term alone is no passage
+    last = None
+    for k in np.flatnonzero(right - left >= 2):
+        on, off = j_of[left[k] : right[k]], int(diagonal[k])
+        low, high = int(on.min()), int(on.max())
+        if low == high or (off, low, high) == last:  # one rare term alone is no passage
             continue
-        for j in range(max(0, min(on) - s.window), min(n, max(on) + s.window + 1)):
+        last = (off, low, high)
+        for j in range(max(0, low - s.window), min(n, high + s.window + 1)):
             if not found[j] and hi[j] > lo[j]:
-                k = lo[j] + np.searchsorted(at[lo[j] : hi[j]], j + off - s.near)
-                found[j] = k < hi[j] and at[k] <= j + off + s.near
+                i = lo[j] + np.searchsorted(at[lo[j] : hi[j]], j + off - s.near)
+                found[j] = i < hi[j] and at[i] <= j + off + s.near
     w, size = weight[item], min(s.window, n)
     total = np.concatenate([[0], np.cumsum(w)])
     got = np.concatenate([[0], np.cumsum(w * found)])
     hits = np.concatenate([[0], np.cumsum(rare[item] & found)])
     share = (got[size:] - got[:-size]) / np.maximum(total[size:] - total[:-size], 1e-9)
-    share[hits[size:] - hits[:-size] < min(s.rare_hits, size)] = 0
+    share[(hits[size:] - hits[:-size] < min(s.rare_hits, size)) | (got[size:] - got[:-size] < s.least_nats)] = 0
     return float(share.max())
 
 
 def index_documents(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """doc_id, h, postings of the documents that hold any term; h names identical postings."""
+    """doc_id, h, postings of the documents that hold any term; h names identical texts."""
 
     def build(batches):
         get = vocabulary.get
         for pdf in batches:
-            ids, blobs = [], []
+            ids, names, blobs = [], [], []
             for i, t in zip(pdf["doc_id"], pdf["text"]):
                 blob = pack_postings([get(w, -1) for w in tokens(t)])
                 if blob:
                     ids.append(i)
+                    names.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     blobs.append(blob)
-            yield pd.DataFrame({"doc_id": ids, "postings": blobs})
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "h": names, "postings": blobs})
 
     kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    return cut(kept.mapInPandas(build, "doc_id long, postings binary").select("doc_id", F.md5("postings").alias("h"), "postings"))
+    return cut(kept.mapInPandas(build, "doc_id long, h binary, postings binary"))
 
 
 def document_frequencies(unique: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -148,23 +167,28 @@ def find_leaks(documents: DataFrame, items: DataFrame, settings: LeakageSettings
     """
     # the items are the stated query set: read in blocks, each with a bounded vocabulary
     rows = [(r["item_id"], t) for r in items.select("item_id", "text").toLocalIterator() if (t := tokens(r["text"]))]
+    distinct = {tuple(t) for _, t in rows}
+    spread = Counter(w for t in distinct for w in set(t))
     out = None
     for k in range(0, max(1, len(rows)), settings.block_items):
-        part = _find_in_block(documents, rows[k : k + settings.block_items], settings)
+        part = _find_in_block(documents, rows[k : k + settings.block_items], spread, len(distinct), settings)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _find_in_block(documents: DataFrame, rows: list, s: LeakageSettings) -> DataFrame:
+def _find_in_block(documents: DataFrame, rows: list, spread: Counter, n_items: int, s: LeakageSettings) -> DataFrame:
+    """``spread``: different item texts that hold a term, of ``n_items``."""
     vocabulary: dict[str, int] = {}
     item_ids = [i for i, _ in rows]
     item_terms = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int32) for _, t in rows]
     index = index_documents(documents, vocabulary)
     unique = index.groupBy("h").agg(F.first("postings").alias("postings"))
     df, n = document_frequencies(unique, len(vocabulary))
-    rare = df <= max(s.rare_least, s.rare_share * n)
-    # the words of a phrase that many documents share weigh next to nothing, its own values the more
-    weight = np.clip(np.log((n + 1) / (df + 1)) - s.common_nats, 0.1, 6.0)
+    # the words of a phrase that many documents or other items share weigh next to nothing, its own values the more
+    in_items = np.array([spread[w] for w in vocabulary], dtype=np.int64)
+    common = np.maximum((df + 1) / (n + 1), (in_items - 1) / max(1, n_items))
+    rare = (df <= max(s.rare_least, s.rare_share * n)) & (in_items <= max(s.item_least, s.item_share * n_items))
+    weight = np.clip(-np.log(common) - s.common_nats, 0.1, 6.0)
 
     # the rare terms of each item: term -> items
     pairs = sorted({(int(t), k) for k, terms in enumerate(item_terms) for t in terms if rare[t]})
@@ -185,7 +209,8 @@ def _find_in_block(documents: DataFrame, rows: list, s: LeakageSettings) -> Data
                         hs.append(h)
                         its.append(item_ids[c])
                         shares.append(x)
-            yield pd.DataFrame({"h": hs, "item_id": its, "share": shares})
+            if hs:
+                yield pd.DataFrame({"h": hs, "item_id": its, "share": shares})
 
-    found = unique.mapInPandas(match, "h string, item_id long, share double")
+    found = unique.mapInPandas(match, "h binary, item_id long, share double")
     return index.select("doc_id", "h").join(found, "h").select("doc_id", "item_id", "share")

@@ -151,7 +151,8 @@ def _regression(graph: DataFrame, value: np.ndarray, weight: np.ndarray) -> tupl
                 if len(flat):
                     xs.append(_scores(flat, value, weight))
                     ys.append(grade)
-            yield pd.DataFrame({"x": xs, "y": ys})
+            if xs:
+                yield pd.DataFrame({"x": xs, "y": ys})
 
     pairs = graph.where(F.col("grade").isNotNull()).select("edges", "grade").mapInPandas(raw, "x double, y double")
     slope, at = pairs.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x")).first()
@@ -220,5 +221,5 @@ def reading_levels(documents: DataFrame, grades: DataFrame, s: ReadingSettings =
     for c in cuts:
         level = level + (F.col("score") >= c).cast("int")
     middle = (1 + s.levels) // 2
-    known = F.isnan("score")
+    known = F.col("score").isNull() | F.isnan("score")
     return scored.where((F.col("n_words") >= s.target_words) & F.col("grade").isNull()).select("doc_id", F.when(known, middle).otherwise(level).alias("reading_level"), "score")
