@@ -42,7 +42,7 @@ ORDINALS = {
 TENS = {"TWENT": 20, "THIRT": 30, "FORT": 40, "FIFT": 50, "SIXT": 60, "SEVENT": 70, "EIGHT": 80, "NINET": 90}
 
 _NOTES = re.compile(r"\bC/O\s+INBOUND\s+DESK\b|\bC/O\b[^,;/|]*|\bATTN:?\s+RECEIVING\b|\bATTENTION:?\s+RECEIVING\b|\bREAR\s+GATE\b|\bDOCK\s+(?:DOOR\s+)?#?\d+\b|\bU\.?S\.?A\.?(?=\W|$)|\bUNITED STATES\b")
-_SITE = re.compile(r"(?:\bD\.?\s?C\.?\s*#?\s*0*(\d{1,3})\b|\bDIST(?:RIBUTION|\.)?\s+(?:CENTER|CTR\.?)\s+(?:NO\.?\s*|#\s*)?0*(\d{1,3})\b|#\s*0*(\d{1,4})\b|\bNO\.?\s*0+(\d{1,3})\b|\bNO\.?\s*(\d{1,3})\b(?=\s*(?:[,;/|]|$)))")
+_SITE = re.compile(r"(?:\bD\.?\s?C\.?\s*#?\s*0*(\d{1,3})\b|\bDIST(?:RIBUTION|\.)?\s+(?:CENTER|CTR\.?)\s+(?:NO\.?\s*|#\s*)?0*(\d{1,3})\b|#\s*0*(\d{1,4})\b|\bNO\.?\s*0+(\d{1,3})\b|\bNO\.?\s+(\d{3})\b|\bNO\.?\s*(\d{1,3})\b(?=\s*(?:[,;/|]|$)))")
 _COUNTY = re.compile(r"\b(?:COUNTY|CNTY\.?|CO\.?|CTY\.?)\s+(?:ROAD|RD\.?)\s+(\d+)\b|\bC\.?R\.?\s+(\d+)\b")
 _UNIT = re.compile(r"\b(?:SUITE|STE\.?|UNIT|APT\.?|BLDG\.?|ROOM|RM\.?)\s+#?([A-Z0-9]+)\b")
 _STATE_NAMES = re.compile(r"\b(" + "|".join(sorted(map(re.escape, STATES), key=len, reverse=True)) + r")\b")
@@ -236,9 +236,10 @@ def assignment(a, b) -> float:
             return 0.0
         near = True
         got, most = got + 2 - d / 2, most + 2
+    if a["brand"] and a["brand"] == b["brand"] and a["state"] and b["state"]:
+        near = True
     site = bool(a["site"] and a["site"] == b["site"] and a["brand"] and a["brand"] == b["brand"])
     if site:
-        near = near or bool(a["state"] and b["state"])
         got, most = got + 1, most + 1
     if a["street"] and b["street"]:
         return got / most if near or site else 0.0

@@ -41,12 +41,12 @@ class LeakageSettings:
 
     window: int = 15
     common_nats: float = 3.0
-    share: float = 0.85
+    share: float = 0.92
     least_nats: float = 5.0
     near: int = 4
-    rare_share: float = 0.02
+    rare_share: float = 0.05
     rare_least: int = 10
-    item_share: float = 0.05
+    item_share: float = 0.2
     item_least: int = 2
     rare_hits: int = 2
     block_items: int = 20_000

@@ -31,7 +31,7 @@ def test_forms_of_a_leak(spark):
         spark,
         filler(1) + ITEM_1 + filler(2),  # whole
         ITEM_1.upper().replace(" ", "\n"),  # retyped and rewrapped
-        ITEM_1.replace("left", "dropped").replace("before", "as"),  # reworded
+        ITEM_1.replace("left", "dropped").replace("crates", "boxes"),  # reworded
         ITEM_1.replace("tarts at", "tarts, as we said on the phone, at"),  # interrupted
         "x " + ITEM_2 + " then " + ITEM_1,  # both, in another order
         half[:20],  # too little
