@@ -193,19 +193,37 @@ def _find_in_block(documents: DataFrame, rows: list, spread: Counter, n_items: i
     # the rare terms of each item: term -> items
     pairs = sorted({(int(t), k) for k, terms in enumerate(item_terms) for t in terms if rare[t]})
     seed_term, seed_item = np.array([t for t, _ in pairs], dtype=np.int32), np.array([k for _, k in pairs], dtype=np.int32)
-    first = np.searchsorted(seed_term, np.arange(len(vocabulary) + 1))
+    n_terms = len(vocabulary)
+    first = np.searchsorted(seed_term, np.arange(n_terms + 1))
+
+    # per item: weight of each token, window size, and the weight that a window needs
+    item_weight = [weight[t] for t in item_terms]
+    item_size = [min(s.window, len(t)) for t in item_terms]
+    needed = []
+    for w, size in zip(item_weight, item_size):
+        c = np.concatenate([[0], np.cumsum(w)])
+        needed.append(np.maximum(s.share * (c[size:] - c[:-size]), s.least_nats) - 1e-9)
 
     def match(batches):
+        present = np.zeros(n_terms, dtype=bool)
         for pdf in batches:
             hs, its, shares = [], [], []
             for h, blob in zip(pdf["h"], pdf["postings"]):
                 term, at = unpack_postings(blob)
-                seeds = [seed_item[first[t] : first[t + 1]] for t in np.unique(term) if rare[t]]
+                own = np.unique(term)
+                seeds = [seed_item[first[t] : first[t + 1]] for t in own[rare[own]]]
                 if not seeds:
                     continue
                 cand, hits = np.unique(np.concatenate(seeds), return_counts=True)
-                for c in cand[hits >= 2]:
-                    if len(item_terms[c]) and (x := passage_share(term, at, item_terms[c], weight, rare, s)) >= s.share:
+                present[:] = False
+                present[own] = True
+                for c in cand[hits >= min(2, s.rare_hits)]:
+                    # what the document's terms could give wherever they stand bounds what they give in order
+                    got = np.concatenate([[0], np.cumsum(item_weight[c] * present[item_terms[c]])])
+                    size = item_size[c]
+                    if not (got[size:] - got[:-size] >= needed[c]).any():
+                        continue
+                    if (x := passage_share(term, at, item_terms[c], weight, rare, s)) >= s.share:
                         hs.append(h)
                         its.append(item_ids[c])
                         shares.append(x)
