@@ -80,6 +80,12 @@ def _segment(w: str) -> list[str]:
     return out
 
 
+def _cut_off(w: str, certain: bool) -> bool:
+    """Whether the last word of a text is the start of another one; in a text that is ``certain`` to be cut also if it is a word."""
+    longer = {_WORDS[x] for x in _WORDS if x.startswith(w) and x != w}
+    return bool(longer - {_WORDS.get(w)}) and (certain or w not in _WORDS)
+
+
 def describe(text: str | None) -> tuple[str, str, int]:
     """(normalised words in order, pack, bit vector) of a description; pack '' if cut off or missing."""
     if not text:
@@ -93,8 +99,8 @@ def describe(text: str | None) -> tuple[str, str, int]:
         t = t[m.end() :] if leads else t[: m.start()]
     words = []
     found = re.findall(r"[A-Z]+", t)
-    if found and (not pack or leads) and (found[-1] not in _WORDS or any(x != found[-1] and x.startswith(found[-1]) for x in _WORDS)) and any(x.startswith(found[-1]) for x in _WORDS):
-        found.pop()  # the start of a word that was cut off
+    if found and _cut_off(found[-1], certain=not pack) and (not pack or leads):
+        found.pop()
     for w in found:
         if w in PACKAGES or (len(w) == 2 and pack and any(p.startswith(w) for p in PACKAGES)):
             continue
@@ -191,16 +197,24 @@ def _described(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + _DESCRIBED)
 
 
-def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, catalogue): lines with their item, and items with words, pack and vector.
 
     An item is a material; the catalogue describes it by its longest description, which is pre-
     aggregated per material. A line without a material takes the item that its description names,
-    and is an item of its own wording if none has it.
+    and is an item of its own wording if none has it. Prices are those of a case by the stated unit
+    if there is a code table ``uom_codes``, else as recorded.
     """
+    net = F.col("unit_price") + F.try_divide(F.col("off_invoice_promo"), F.col("quantity"))
+    cases = F.lit(1.0)
+    if uom_codes is not None:
+        from ledgerlens.operators import units
+
+        said = F.coalesce(units.count_unit(F.col("unit_label")), units.unit_in_description(F.col("description")))
+        cases = F.coalesce(units.stated_factor(said, "CS", units.pieces_per_case(F.col("description")), units.unit_sizes(uom_codes)), F.lit(1.0))
     parts = [
         invoice_lines.select(F.lit("invoice_lines").alias("target_table"), F.col("invoice_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
-                             F.col("unit_price").alias("price"), (F.col("unit_price") + F.try_divide(F.col("off_invoice_promo"), F.col("quantity"))).alias("net")),
+                             F.try_divide(F.col("unit_price"), cases).alias("price"), F.try_divide(net, cases).alias("net")),
         shipped_lines.where(F.coalesce("belongs_to_primary_shipment", F.lit(True))).select(
             F.lit("shipped_lines").alias("target_table"), F.col("shipped_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
             F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("net")),
@@ -218,20 +232,21 @@ def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame) -> tuple[Data
     return lines, catalogue.unionByName(own)
 
 
-def claims_with_case(claim_lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Claim lines with the case they belong to: their own, else that of their invoice number, else of their order number."""
+def claims_with_case(claim_lines: DataFrame, invoices: DataFrame, bols: DataFrame | None = None) -> DataFrame:
+    """Claim lines with the case they belong to: their own, else that of their invoice number, else of their order number (on invoices, then on bills)."""
     from ledgerlens.operators.orphans import number_key
 
-    def to_case(field: str, name: str) -> DataFrame:
-        return invoices.select(number_key(F.col(field)).alias(name), "case_id").where(F.col(name).isNotNull() & F.col("case_id").isNotNull()).groupBy(name).agg(F.min("case_id").alias(f"case_by_{name}"))
+    def to_case(table: DataFrame, field: str, name: str, out: str) -> DataFrame:
+        return table.select(number_key(F.col(field)).alias(name), "case_id").where(F.col(name).isNotNull() & F.col("case_id").isNotNull()).groupBy(name).agg(F.min("case_id").alias(out))
 
     five, four, sku = claim_codes(F.col("upc"))
     c = claim_lines.select(
         F.col("claim_line_id").cast("long").alias("claim_line_id"), F.col("case_id").alias("own_case"), F.when(F.col("case_id").isNull(), number_key(F.col("claim_invoice_number"))).alias("inv"),
         F.when(F.col("case_id").isNull(), number_key(F.col("claim_po_number"))).alias("po"), five.alias("five"), four.alias("four"), sku.alias("sku"), "description", F.col("unit_price").alias("claim_price"),
     )
-    lost = c.where(F.col("own_case").isNull()).join(to_case("invoice_number", "inv"), "inv", "left").join(to_case("po_number", "po"), "po", "left")
-    found = lost.select("claim_line_id", F.coalesce("case_by_inv", "case_by_po").alias("case_id"), "five", "four", "sku", "description", "claim_price").where(F.col("case_id").isNotNull())
+    lost = c.where(F.col("own_case").isNull()).join(to_case(invoices, "invoice_number", "inv", "case_1"), "inv", "left").join(to_case(invoices, "po_number", "po", "case_2"), "po", "left")
+    lost = lost.join(to_case(bols, "po_number", "po", "case_3"), "po", "left") if bols is not None else lost.withColumn("case_3", F.lit(None).cast("long"))
+    found = lost.select("claim_line_id", F.coalesce("case_1", "case_2", "case_3").alias("case_id"), "five", "four", "sku", "description", "claim_price").where(F.col("case_id").isNotNull())
     return c.where(F.col("own_case").isNotNull()).select("claim_line_id", F.col("own_case").alias("case_id"), "five", "four", "sku", "description", "claim_price").unionByName(found)
 
 
@@ -290,7 +305,9 @@ def learned_weights(counts: list[tuple[int, int, int, float]]) -> tuple[float, d
     return math.log(p / (1 - p)), {"words": words, "code": code, "price": price}
 
 
-def match_items(claim_lines: DataFrame, invoices: DataFrame, invoice_lines: DataFrame, shipped_lines: DataFrame, least: float = 0.5) -> DataFrame:
+def match_items(
+    claim_lines: DataFrame, invoices: DataFrame, invoice_lines: DataFrame, shipped_lines: DataFrame, bols: DataFrame | None = None, uom_codes: DataFrame | None = None, least: float = 0.5
+) -> DataFrame:
     """claim_line_id, target_table, target_line_id, confidence: the lines of a claim's case that are its item.
 
     A claim gets the item of its case with the highest confidence of ``least`` or more, and with it
@@ -300,10 +317,10 @@ def match_items(claim_lines: DataFrame, invoices: DataFrame, invoice_lines: Data
     the primary shipment. Repeated claims and lines count each; empty tables give no rows; texts
     of any length are read whole; other columns are ignored.
     """
-    lines, catalogue = case_lines(invoice_lines, shipped_lines)
+    lines, catalogue = case_lines(invoice_lines, shipped_lines, uom_codes)
     lines = cut(lines)
     catalogue = cut(catalogue)
-    claims = cut(_described(claims_with_case(claim_lines, invoices)).withColumnsRenamed({"words": "c_words", "pack": "c_pack", "v": "c_v"}).drop("description"))
+    claims = cut(_described(claims_with_case(claim_lines, invoices, bols)).withColumnsRenamed({"words": "c_words", "pack": "c_pack", "v": "c_v"}).drop("description"))
     sku_items = shipped_lines.select(sku_key(F.col("customer_sku")).alias("sku"), material_code(F.col("material_number")).alias("m")).where(F.col("sku").isNotNull() & F.col("m").isNotNull())
     sku_items = sku_items.groupBy("sku", "m").agg(F.count(F.lit(1)).alias("n")).groupBy("sku").agg(F.max_by("m", F.struct("n", "m")).alias("sku_item"))
     by_sku = claims.where(F.col("sku").isNotNull()).select("sku").distinct().join(sku_items, "sku")

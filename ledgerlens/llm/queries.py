@@ -9,7 +9,7 @@ from ledgerlens.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [table(spark, sf_dir, t) for t in ("claim_lines", "invoices", "invoice_lines", "shipped_lines")]
+    tables = [table(spark, sf_dir, t) for t in ("claim_lines", "invoices", "invoice_lines", "shipped_lines", "bols", "uom_codes")]
     return entity_match.match_items(*tables).select("claim_line_id", "target_table", "target_line_id")
 
 
