@@ -205,16 +205,16 @@ def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: Da
     and is an item of its own wording if none has it. Prices are those of a case by the stated unit
     if there is a code table ``uom_codes``, else as recorded.
     """
-    net = F.col("unit_price") + F.try_divide(F.col("off_invoice_promo"), F.col("quantity"))
-    cases = F.lit(1.0)
+    # step by step, as each step uses the one before more than once
+    priced = invoice_lines.withColumn("_net", F.col("unit_price") + F.try_divide(F.col("off_invoice_promo"), F.col("quantity"))).withColumn("_cases", F.lit(1.0))
     if uom_codes is not None:
         from ledgerlens.operators import units
 
-        said = F.coalesce(units.count_unit(F.col("unit_label")), units.unit_in_description(F.col("description")))
-        cases = F.coalesce(units.stated_factor(said, "CS", units.pieces_per_case(F.col("description")), units.unit_sizes(uom_codes)), F.lit(1.0))
+        priced = priced.withColumns({"_said": F.coalesce(units.count_unit(F.col("unit_label")), units.unit_in_description(F.col("description"))), "_pack": units.pieces_per_case(F.col("description"))})
+        priced = priced.withColumn("_cases", F.coalesce(units.stated_factor(F.col("_said"), "CS", F.col("_pack"), units.unit_sizes(uom_codes)), F.lit(1.0)))
     parts = [
-        invoice_lines.select(F.lit("invoice_lines").alias("target_table"), F.col("invoice_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
-                             F.try_divide(F.col("unit_price"), cases).alias("price"), F.try_divide(net, cases).alias("net")),
+        priced.select(F.lit("invoice_lines").alias("target_table"), F.col("invoice_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
+                             F.try_divide(F.col("unit_price"), F.col("_cases")).alias("price"), F.try_divide(F.col("_net"), F.col("_cases")).alias("net")),
         shipped_lines.where(F.coalesce("belongs_to_primary_shipment", F.lit(True))).select(
             F.lit("shipped_lines").alias("target_table"), F.col("shipped_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
             F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("net")),
