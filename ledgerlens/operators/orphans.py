@@ -40,6 +40,11 @@ def number_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(c, r"[^0-9]", ""), r"^0+", ""), F.lit(""))
 
 
+def utc_clock(c: Column) -> Column:
+    """The instant as it reads on a UTC clock, whatever the session's time zone."""
+    return F.to_utc_timestamp(c, F.current_timezone())
+
+
 def find_orphans(tables: dict[str, DataFrame], references=TRADE_REFERENCES) -> DataFrame:
     """One row per referring row whose parent was not live when it was loaded.
 
@@ -81,7 +86,7 @@ def find_orphans(tables: dict[str, DataFrame], references=TRADE_REFERENCES) -> D
         .select(
             name("child").alias("src_table"), name("field").alias("ref_field"), "src_id",
             F.when(F.col("live_at").isNotNull(), "late").when(F.col("gone"), "deleted").otherwise("missing").alias("orphan_kind"),
-            F.date_format("ref_at", "yyyy-MM").alias("ref_month"),
+            F.date_format(utc_clock(F.col("ref_at")), "yyyy-MM").alias("ref_month"),
         )
     )
 

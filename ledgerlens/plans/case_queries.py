@@ -9,6 +9,7 @@ from ledgerlens.extract import text as X
 from ledgerlens.extract import tiers
 from ledgerlens.functions import exprs as E
 from ledgerlens.operators import classify, match, nested, receiving, report
+from ledgerlens.operators.orphans import utc_clock
 from ledgerlens.plans import case_texts as T
 from ledgerlens.session import table
 from ledgerlens.sources import files
@@ -234,7 +235,7 @@ def amount_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT invoice_id, CASE WHEN regexp_matches(trim(invoice_date), '^[0-9]{8}$') THEN regexp_replace(trim(invoice_date), '^([0-9]{4})([0-9]{2})([0-9]{2})$', '\\1-\\2-\\3') ELSE trim(invoice_date) END AS iso, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS back FROM invoices")
 def yyyymmdd_format(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "invoices").select("invoice_id", E.iso_date(F.col("invoice_date")).alias("iso"), E.iso_date(F.date_format("loaded_at", "yyyyMMdd")).alias("back"))
+    return table(spark, sf, "invoices").select("invoice_id", E.iso_date(F.col("invoice_date")).alias("iso"), E.iso_date(F.date_format(utc_clock(F.col("loaded_at")), "yyyyMMdd")).alias("back"))
 
 
 @query("SELECT pod_id, coalesce(regexp_matches(stamp_notes, " + _quote("(?i)" + "|".join(E.NO_SHORTAGE)) + "), false) AS no_shortage FROM pods")

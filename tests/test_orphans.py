@@ -33,3 +33,21 @@ def test_ties_nulls_and_empty_tables(spark):
     got = sorted((r.src_id, r.orphan_kind, r.ref_month) for r in find_orphans(t).collect())
     # loaded at the same time is no orphan; a row without loaded_at is before every parent; a parent without is never loaded
     assert got == [(2, "late", None), (3, "missing", "2024-01")]
+
+
+def test_months_are_utc_in_any_session(spark):
+    from datetime import timezone
+
+    from ledgerlens.operators.orphans import utc_clock
+
+    at = datetime(2024, 2, 1, 1, 30, tzinfo=timezone.utc)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            from pyspark.sql import functions as F
+
+            df = spark.createDataFrame([(int(at.timestamp()),)], "s long").select(F.date_format(utc_clock(F.timestamp_seconds("s")), "yyyy-MM").alias("m"))
+            assert df.first().m == "2024-02"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
