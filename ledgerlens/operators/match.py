@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.exprs import description_tokens, digits, net_unit_price, round_to, upc_suffix
 
 LEAST_SCORE = 0.3
+#: Numbers up to this length are cut into all their pieces, by which a number inside another one is found.
+LONGEST_NUMBER = 32
 
 
 def line_score(upc: Column, claim_price: Column, claim_desc: Column, material: Column, gross: Column, net: Column, desc: Column) -> Column:
@@ -78,12 +80,25 @@ def credit_memos(claims: DataFrame, remittance_lines: DataFrame) -> DataFrame:
     pos, seller_invoice_num, is_credit_memo, invoice_amount. Columns out: claim_line_id,
     cm_pos, cm_amount, found_by. Claims without one have no row.
     """
-    cm = remittance_lines.where("is_credit_memo").select("case_id", F.col("pos").alias("cm_pos"), "seller_invoice_num", F.col("invoice_amount").alias("cm_amount"))
-    pairs = claims.select("claim_line_id", "case_id", "claim_invoice_number", "adj_amount").join(cm, "case_id")
-    rank = F.when((F.col("claim_invoice_number") != "") & F.col("seller_invoice_num").contains(F.col("claim_invoice_number")), 1).when(F.abs(F.col("cm_amount") + F.abs("adj_amount")) < 0.01, 2)
-    ranked = pairs.withColumn("rank", rank).where(F.col("rank").isNotNull())
-    best = ranked.groupBy("claim_line_id").agg(F.min(F.struct("rank", "cm_pos", "cm_amount")).alias("b"))
-    return best.select("claim_line_id", "b.cm_pos", "b.cm_amount", F.when(F.col("b.rank") == 1, "number").otherwise("amount").alias("found_by"))
+    cm = remittance_lines.where("is_credit_memo").select("case_id", F.col("pos").alias("cm_pos"), F.col("seller_invoice_num").alias("num"), F.col("invoice_amount").alias("cm_amount"))
+    cl = claims.where(F.col("case_id").isNotNull()).select("claim_line_id", "case_id", F.nullif("claim_invoice_number", F.lit("")).alias("wanted"), (-F.abs("adj_amount")).alias("owed"))
+    memo = F.struct("cm_pos", "cm_amount")
+    # by number: the first memo of each piece of a number; numbers too long to be cut into all pieces are compared in their case
+    size = F.length("num")
+    short = cm.where(size.between(1, LONGEST_NUMBER)).groupBy("case_id", "num").agg(F.min(memo).alias("m"))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("num"), i, n)))))
+    by_piece = short.select("case_id", "m", F.explode(pieces).alias("wanted")).groupBy("case_id", "wanted").agg(F.min("m").alias("m"))
+    numbered = cl.where(F.col("wanted").isNotNull())
+    found = numbered.join(by_piece, ["case_id", "wanted"]).select("claim_line_id", F.lit(1).alias("rank"), "m")
+    long = cm.where(size > LONGEST_NUMBER).select("case_id", "num", memo.alias("m"))
+    found = found.union(numbered.join(long, "case_id").where(F.col("num").contains(F.col("wanted"))).select("claim_line_id", F.lit(1), "m"))
+    # by amount: cells of a hundredth, and their neighbours
+    cell = lambda c, k=0: F.floor(c / 0.01) + k
+    owed = cl.where(F.col("owed").isNotNull()).select("claim_line_id", "case_id", "owed", F.explode(F.array(*(cell(F.col("owed"), k) for k in (-1, 0, 1)))).alias("cell"))
+    paid = cm.where(F.col("cm_amount").isNotNull()).groupBy("case_id", cell(F.col("cm_amount")).alias("cell"), "cm_amount").agg(F.min(memo).alias("m"))
+    found = found.union(owed.join(paid, ["case_id", "cell"]).where(F.abs(F.col("cm_amount") - F.col("owed")) < 0.01).select("claim_line_id", F.lit(2), "m"))
+    best = found.groupBy("claim_line_id").agg(F.min(F.struct("rank", "m")).alias("b"))
+    return best.select("claim_line_id", "b.m.cm_pos", "b.m.cm_amount", F.when(F.col("b.rank") == 1, "number").otherwise("amount").alias("found_by"))
 
 
 def best_documents(documents: DataFrame) -> DataFrame:
