@@ -197,12 +197,19 @@ def _described(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + _DESCRIBED)
 
 
+#: What the item of a line starts with that no material names.
+OWN = "d|"
+#: Greatest distance of log prices of one item in a case, and between cases.
+SAME_PRICE, USUAL_PRICE = 0.0005, 0.05
+
+
 def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, catalogue): lines with their item, and items with words, pack and vector.
 
     An item is a material; the catalogue describes it by its longest description, which is pre-
     aggregated per material. A line without a material takes the item that its description names,
-    and is an item of its own wording if none has it. Prices are those of a case by the stated unit
+    and is an item of its own wording if none has it, of none if it has no wording; ``items_in_case``
+    looks for these in their case, by ``sku`` too. Prices are those of a case by the stated unit
     if there is a code table ``uom_codes``, else as recorded.
     """
     # step by step, as each step uses the one before more than once
@@ -213,10 +220,10 @@ def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: Da
         priced = priced.withColumns({"_said": F.coalesce(units.count_unit(F.col("unit_label")), units.unit_in_description(F.col("description"))), "_pack": units.pieces_per_case(F.col("description"))})
         priced = priced.withColumn("_cases", F.coalesce(units.stated_factor(F.col("_said"), "CS", F.col("_pack"), units.unit_sizes(uom_codes)), F.lit(1.0)))
     parts = [
-        priced.select(F.lit("invoice_lines").alias("target_table"), F.col("invoice_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
+        priced.select(F.lit("invoice_lines").alias("target_table"), F.col("invoice_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", F.lit(None).cast("string").alias("sku"), "description",
                              F.try_divide(F.col("unit_price"), F.col("_cases")).alias("price"), F.try_divide(F.col("_net"), F.col("_cases")).alias("net")),
         shipped_lines.where(F.coalesce("belongs_to_primary_shipment", F.lit(True))).select(
-            F.lit("shipped_lines").alias("target_table"), F.col("shipped_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", "description",
+            F.lit("shipped_lines").alias("target_table"), F.col("shipped_line_id").cast("long").alias("target_line_id"), "case_id", "material_number", sku_key(F.col("customer_sku")).alias("sku"), "description",
             F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("net")),
     ]
     both = parts[0].unionByName(parts[1]).where(F.col("case_id").isNotNull()).select("*", material_code(F.col("material_number")).alias("material")).drop("material_number")
@@ -225,13 +232,50 @@ def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: Da
     named = catalogue.where(F.col("pack") != "").groupBy("words", "pack").agg(F.min("item").alias("named"))
     loose = _described(both.where(F.col("material").isNull() & F.col("description").isNotNull()).select("description").distinct())
     loose = cut(loose.where(F.col("words") != "").join(named, ["words", "pack"], "left").select(
-        "description", F.coalesce("named", F.concat_ws("|", F.lit("d"), "words", "pack")).alias("loose_item"), F.col("named").isNull().alias("own"), "words", "pack", "v"))
+        "description", F.coalesce("named", F.concat(F.lit(OWN), F.concat_ws("|", "words", "pack"))).alias("loose_item"), F.col("named").isNull().alias("own"), "words", "pack", "v"))
     lines = both.withColumn("wording", F.when(F.col("material").isNull(), F.col("description"))).join(loose.select(F.col("description").alias("wording"), "loose_item"), "wording", "left")
-    lines = lines.select("target_table", "target_line_id", "case_id", F.coalesce("material", "loose_item").alias("item"), "price", "net").where(F.col("item").isNotNull())
+    item = F.coalesce("material", "loose_item")
+    lines = lines.select("target_table", "target_line_id", "case_id", item.alias("item"), F.when(item.isNull() | item.startswith(OWN), F.col("sku")).alias("sku"), "price", "net")
     own = loose.where("own").select(F.col("loose_item").alias("item"), "words", "pack", "v").dropDuplicates(["item"])
     return lines, catalogue.unionByName(own)
 
 
+def items_in_case(lines: DataFrame, catalogue: DataFrame, sku_items: DataFrame) -> DataFrame:
+    """``lines`` without sku, where those of no material take an item of their case if one alone fits.
+
+    A sku that is shipped under a material names it. Else the words of a line must lie inside those
+    of the item, with no other pack, and its price must be the one of the item in the case, or near
+    the item's usual one where the case has none; a line without words goes by its price alone. Of
+    several that fit the one with the closest words is taken, and none of equals. Lines that find
+    none keep their own wording as item; those without wording are left out.
+    """
+    loose = F.col("item").isNull() | F.col("item").startswith(OWN)
+    named = lines.where(~loose).drop("sku")
+    open_ = lines.where(loose).join(sku_items, "sku", "left").drop("sku")
+    by_sku = open_.where(F.col("sku_item").isNotNull()).withColumn("item", F.col("sku_item")).drop("sku_item")
+    open_ = cut(open_.where(F.col("sku_item").isNull()).drop("sku_item"))
+    line = ["target_table", "target_line_id", "case_id"]
+    told = open_.select(*line, "item", F.col("price").alias("l_price")).join(catalogue.where(F.col("item").startswith(OWN)).select("item", F.col("v").alias("l_v"), F.col("pack").alias("l_pack")), "item", "left").drop("item")
+    told = told.withColumns({"l_v": F.coalesce("l_v", F.lit(0)), "l_pack": F.coalesce("l_pack", F.lit(""))})
+    near = named.join(open_.select("case_id").distinct(), "case_id", "left_semi")
+    log = lambda c: F.when(F.col(c) > 0, F.log(c))
+    items = near.groupBy("case_id", "item").agg(F.array_compact(F.collect_set(log("price"))).alias("here"))
+    usual = named.groupBy("item").agg(F.percentile_approx(log("price"), 0.5).alias("usual"))
+    p = told.join(items, "case_id").join(usual, "item").join(catalogue, "item", "left")
+    bits = lambda c: F.bit_count(F.col(c))
+    common = F.bit_count(F.col("l_v").bitwiseAND(F.coalesce("v", F.lit(0))))
+    dice = F.round(F.coalesce(F.try_divide(2.0 * common, bits("l_v") + bits("v")), F.lit(0.0)), 6)
+    own = log("l_price")
+    priced = F.when(F.size("here") > 0, F.exists("here", lambda x: F.abs(x - own) <= SAME_PRICE)).otherwise(F.abs(F.col("usual") - own) <= USUAL_PRICE)
+    pack_fits = (F.col("l_pack") == "") | (F.coalesce("pack", F.lit("")) == "") | (F.col("l_pack") == F.col("pack"))
+    # without a price words have to be enough, without words the price
+    fits = F.when(F.col("l_v") == 0, F.coalesce(priced, F.lit(False))).otherwise((F.try_divide(1.0 * common, bits("l_v")) >= 0.95) & pack_fits & F.coalesce(priced, F.lit(True)))
+    fitting = p.where(fits).groupBy(*line).agg(F.array_sort(F.collect_set(F.struct((-dice).alias("d"), "item"))).alias("f"))
+    alone = (F.size("f") == 1) | (F.col("f")[0]["d"] < F.try_element_at("f", F.lit(2))["d"])
+    found = open_.join(fitting.where(alone).select(*line, F.col("f")[0]["item"].alias("found")), line, "left").withColumn("item", F.coalesce("found", "item")).drop("found")
+    return named.unionByName(by_sku).unionByName(found).where(F.col("item").isNotNull())
+
+
 def claims_with_case(claim_lines: DataFrame, invoices: DataFrame, bols: DataFrame | None = None) -> DataFrame:
     """Claim lines with the case they belong to: their own, else that of their invoice number, else of their order number (on invoices, then on bills)."""
     from ledgerlens.operators.orphans import number_key
@@ -311,7 +355,7 @@ def match_items(
     """claim_line_id, target_table, target_line_id, confidence: the lines of a claim's case that are its item.
 
     A claim gets the item of its case with the highest confidence of ``least`` or more, and with it
-    every line of that item; of ties all. Null or placeholder codes, null or cut-off descriptions
+    every line of that item, also those that say it only by sku, cut-off words or price; of ties all. Null or placeholder codes, null or cut-off descriptions
     and null prices take no part in the comparison; a claim whose case is unknown, or with nothing
     to compare, gives no row. Lines of another shipment never match; a null in that mark counts as
     the primary shipment. Repeated claims and lines count each; empty tables give no rows; texts
@@ -320,9 +364,10 @@ def match_items(
     lines, catalogue = case_lines(invoice_lines, shipped_lines, uom_codes)
     lines = cut(lines)
     catalogue = cut(catalogue)
-    claims = cut(_described(claims_with_case(claim_lines, invoices, bols)).withColumnsRenamed({"words": "c_words", "pack": "c_pack", "v": "c_v"}).drop("description"))
     sku_items = shipped_lines.select(sku_key(F.col("customer_sku")).alias("sku"), material_code(F.col("material_number")).alias("m")).where(F.col("sku").isNotNull() & F.col("m").isNotNull())
     sku_items = sku_items.groupBy("sku", "m").agg(F.count(F.lit(1)).alias("n")).groupBy("sku").agg(F.max_by("m", F.struct("n", "m")).alias("sku_item"))
+    lines = cut(items_in_case(lines, catalogue, sku_items))
+    claims = cut(_described(claims_with_case(claim_lines, invoices, bols)).withColumnsRenamed({"words": "c_words", "pack": "c_pack", "v": "c_v"}).drop("description"))
     by_sku = claims.where(F.col("sku").isNotNull()).select("sku").distinct().join(sku_items, "sku")
     # a code that is another item's is no mistyped one
     known = claims.where(F.col("five").isNotNull()).select("five").distinct().join(catalogue.select(F.col("item").alias("five")), "five", "left_semi").withColumn("five_known", F.lit(True))

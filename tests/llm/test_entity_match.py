@@ -61,6 +61,15 @@ def test_ways_of_naming_an_item(spark):
     assert got == {i: both(1, "08847") for i in (1, 2, 3, 4)} | {i: both(1, "22691") for i in (5, 6)}
 
 
+def test_lines_without_a_material_find_the_item_of_their_case(spark):
+    c, i, il, sl = tables(spark, [(1, 1, None, None, "1007318008847", "ORG MPL PECAN CRISP 6CT 25OZ", 20.0), (2, 1, None, None, "1007318022691", "WHL GRN MPL SESAME SNAP 18/3.5 OZ", 84.0)])
+    # case 1 ships 08847 and 22691 and invoices both; cut-off words, another price, price alone, price of two
+    more = [(2001, 1, None, "PCN CRSP MPL O", 20.0, 1.0, None, None), (2002, 1, None, "PCN CRSP MPL ORG", 56.0, 1.0, None, None), (2003, 1, None, None, 84.0, 1.0, None, None), (2004, 1, None, None, 51.0, 1.0, None, None)]
+    skus = [(2005, 1, None, f"ie-{100000 + 3 * 17}", None, True, "x"), (2006, 1, None, f"ie-{100000 + 3 * 17}", None, False, "x"), (2007, 1, None, "??", None, True, "x")]
+    got = match_items(c, i, il.union(spark.createDataFrame(more, IL)), sl.union(spark.createDataFrame(skus, SL))).where("claim_line_id < 10 and target_line_id > 2000").collect()
+    assert {(r.claim_line_id, r.target_table, r.target_line_id) for r in got} == {(1, "invoice_lines", 2001), (2, "invoice_lines", 2003), (2, "shipped_lines", 2005)} and len(got) == 3
+
+
 def test_empty_tables(spark):
     c, i, il, sl = tables(spark, [])
     assert match_items(c.limit(0), i, il, sl).count() == 0
