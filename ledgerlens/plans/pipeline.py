@@ -1,8 +1,9 @@
 """Case folders to tables: scan, decode, classify, extract, choose the best document, roll up, write.
 
 One lazy plan over all cases; a case is the folder of its files. Texts of the same content are
-extracted once. Recognition of scans and pictures is a tier that is handed in; without one, files
-that hold no text come out as unresolved.
+extracted once. Recognition of scans and pictures is a tier that is handed in; files that get no
+text, without one or from it, come out in a table of their own, ``unresolved``, and in the report
+of their case.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ledgerlens.extract import text as X
 from ledgerlens.functions.exprs import readable_chars
 from ledgerlens.operators.classify import classify_document
 from ledgerlens.operators.match import best_documents
-from ledgerlens.operators.report import case_documents
+from ledgerlens.operators.report import EXPECTED, case_documents
 from ledgerlens.sources import files
 
 #: Document type: its header and its row extractor.
@@ -48,6 +49,13 @@ def documents(spark: SparkSession, root: str, read_pictures: Callable[[DataFrame
     return out.select("doc_id", "case_id", "path", "content_id", "text", "c.doc_type", "c.confidence"), sorted_out.where("reason is not null").select("path", "reason")
 
 
+def unresolved(spark: SparkSession, root: str, docs: DataFrame) -> DataFrame:
+    """Readable files under ``root`` that are not in ``docs``: doc_id, case_id, path, content_id, kind, doc_type by the file name, confidence 0."""
+    rest = files.triage(files.read_files(spark, root)).where("kind is not null").join(docs.select("path"), "path", "left_anti")
+    c = classify_document(None, files.file_name(F.col("path")))
+    return rest.select(F.xxhash64("path").alias("doc_id"), files.folder(F.col("path")).alias("case_id"), "path", "content_id", "kind", c["doc_type"].alias("doc_type"), F.lit(0.0).alias("confidence"))
+
+
 def extract(docs: DataFrame) -> dict[str, DataFrame]:
     """Header and row table of each document type; a content is read once and joined to every document that has it.
 
@@ -64,19 +72,30 @@ def extract(docs: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def reports(docs: DataFrame, skipped: DataFrame) -> DataFrame:
-    """One row per case: documents seen and missing, the best document per type, warnings for skipped files."""
+def reports(docs: DataFrame, skipped: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """One row per case of any file: documents seen and missing, the best document per type, warnings for skipped files.
+
+    A type is missing if no document of it was read; files of ``unread`` stand in
+    ``documents_unresolved`` ('type :: path', sorted), so that both can be told apart.
+    """
     scored = docs.withColumn("extraction_confidence", F.when(readable_chars(F.col("text")) > 0, F.element_at(F.create_map(*(F.lit(x) for kv in TEXT_CONFIDENCE.items() for x in kv)), F.col("doc_type"))))
     best = best_documents(scored.where("doc_type <> 'unknown'").select("case_id", "doc_type", "doc_id", "path", "extraction_confidence"))
     chosen = best.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", "path")))).alias("best"))
     warned = skipped.groupBy(files.folder(F.col("path")).alias("case_id")).agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "reason"))).alias("warnings"))
-    return case_documents(docs.select("case_id", "doc_type", "path")).join(chosen, "case_id", "left").join(warned, "case_id", "left")
+    unread = docs.limit(0) if unread is None else unread
+    open_ = unread.groupBy("case_id").agg(F.array_sort(F.collect_list(F.concat_ws(" :: ", "doc_type", "path"))).alias("documents_unresolved"))
+    none = F.array().cast("array<string>")
+    out = case_documents(docs.select("case_id", "doc_type", "path")).join(warned, "case_id", "full").join(open_, "case_id", "full").join(chosen, "case_id", "left")
+    return out.select(
+        "case_id", F.coalesce("documents_seen", none).alias("documents_seen"), F.coalesce("documents_missing", F.array(*map(F.lit, EXPECTED))).alias("documents_missing"),
+        F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "best", "warnings", F.coalesce("documents_unresolved", none).alias("documents_unresolved"))
 
 
 def run_cases(spark: SparkSession, root: str, out: str | None = None, read_pictures=None) -> dict[str, DataFrame]:
     """All tables of the cases under ``root``, written below ``out`` if given."""
     docs, skipped = documents(spark, root, read_pictures)
-    tables = {"documents": docs, "skipped": skipped, **extract(docs), "reports": reports(docs, skipped)}
+    unread = unresolved(spark, root, docs)
+    tables = {"documents": docs, "skipped": skipped, "unresolved": unread, **extract(docs), "reports": reports(docs, skipped, unread)}
     if out is not None:
         for name, df in tables.items():
             write(df, f"{out}/{name}")

@@ -28,6 +28,22 @@ def test_cases_from_files(spark, tmp_path):
     assert rep.documents_missing == ["bill_of_lading", "deduction_claim", "remittance_advice"] and len(rep.warnings) == 1 and rep.best["sales_invoice"].endswith("copy_invoice_9040.txt")
 
 
+def test_files_without_text_do_not_vanish(spark, tmp_path):
+    root = folder(tmp_path)
+    for name, files_in in {"only_pdf": ("invoice_1234.pdf",), "only_skipped": ("x.docx",)}.items():
+        (tmp_path / "in" / name).mkdir()
+        for f in files_in:
+            (tmp_path / "in" / name / f).write_bytes(b"%PDF")
+    t = run_cases(spark, root)
+    assert {(r.path.rsplit("/", 1)[1], r.kind, r.doc_type, r.confidence) for r in t["unresolved"].collect()} == {("bol.pdf", "pdf", "bill_of_lading", 0.0), ("invoice_1234.pdf", "pdf", "sales_invoice", 0.0)}
+    rep = {r.case_id.rsplit("/", 1)[1]: r for r in t["reports"].collect()}
+    assert {k: (r.n_documents, len(r.warnings or []), [x.split(" :: ")[0] for x in r.documents_unresolved]) for k, r in rep.items()} == {"case_1": (3, 1, ["bill_of_lading"]), "only_pdf": (0, 0, ["sales_invoice"]), "only_skipped": (0, 1, [])}
+    assert len(rep["only_pdf"].documents_missing) == 4
+    # an engine that returns no row for a file
+    none = run_cases(spark, root, read_pictures=lambda d: d.where(~F.col("path").endswith("bol.pdf")).select("path", "content_id", F.lit("x").alias("text")))
+    assert [r.path.rsplit("/", 1)[1] for r in none["unresolved"].collect()] == ["bol.pdf"]
+
+
 def test_pictures_are_read_by_an_engine_that_is_handed_in(spark, tmp_path):
     t = run_cases(spark, folder(tmp_path), read_pictures=lambda d: d.select("path", "content_id", F.lit("STRAIGHT BILL OF LADING\nBOL NUMBER: 123456 and some more words to read").alias("text")))
     assert [r.bol_number for r in t["bill_of_lading"].collect()] == ["123456"]
