@@ -161,7 +161,7 @@ def _walk(tree, record_id: int, rows: list) -> None:
     visit(tree, -1, "", [], 1)
 
 
-def shred(df: DataFrame, record_id: str, payload: str, envelope: str) -> tuple[DataFrame, DataFrame]:
+def shred(df: DataFrame, record_id: str, payload: str, envelope: str | tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The nested payloads of ``df`` as (objects, bridge).
 
     objects: object_id, name, fields (canonical JSON text of the scalar fields), one row per
@@ -169,18 +169,21 @@ def shred(df: DataFrame, record_id: str, payload: str, envelope: str) -> tuple[D
     object_id, one row per occurrence; occ numbers the objects of a record in document order and
     parent_occ is -1 for the envelope; ordinals are those of the envelope, ..., the object itself.
 
-    Null, empty, cut-off or malformed payloads and those of another envelope give no rows; text
+    Null, empty, cut-off or malformed payloads and those of another envelope (of several names, the
+    first that a payload has) give no rows; text
     around the envelope, comments, namespaces, attributes of the layout and the declared format do
     not matter. Empty and null fields read ''; of a repeated field the first counts. Repeated
     rows give the same bridge rows again under their own record_id; a null record_id is kept.
     Payloads of any length are read whole; other columns are ignored.
     """
 
+    envelopes = (envelope,) if isinstance(envelope, str) else envelope
+
     def parse(batches):
         for pdf in batches:
             rows: list = []
             for i, t in zip(pdf["record_id"], pdf["payload"]):
-                tree = parse_payload(t, envelope)
+                tree = next((x for e in envelopes if (x := parse_payload(t, e)) is not None), None)
                 if tree is not None:
                     _walk(tree, None if pd.isna(i) else int(i), rows)
                 if len(rows) >= 20_000:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.extract import edi, tiers
 from ledgerlens.extract import text as X
-from ledgerlens.extract import tiers
 from ledgerlens.functions import exprs as E
-from ledgerlens.operators import classify, match, nested, receiving, report
+from ledgerlens.operators import classify, match, receiving, report
 from ledgerlens.operators.orphans import utc_clock
 from ledgerlens.plans import case_texts as T
 from ledgerlens.session import table
@@ -412,25 +412,14 @@ def extraction_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def edi_invoice_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Number, date, order and delivery of each IDOC by qualifier, from the shredded objects."""
-    objects, bridge = nested.shred(table(spark, sf, "idocs"), "idoc_id", "payload", "INVOIC02")
-    head = bridge.where(F.col("path").isin("INVOIC02/IDOC/E1EDK01", "INVOIC02/IDOC/E1EDK02", "INVOIC02/IDOC/E1EDS01")).join(objects.drop("name"), "object_id")
-    get = lambda seg, key, value, code: F.max(F.when((F.col("name") == seg) & ((F.lit(code) == "") | (nested.field(F.col("fields"), key) == code)), F.nullif(nested.field(F.col("fields"), value), F.lit(""))))
-    return head.groupBy(F.col("record_id").alias("idoc_id"), F.col("ordinals")[1].alias("idoc_seq")).agg(
-        get("E1EDK01", "BELNR", "BELNR", "").alias("invoice_number"), get("E1EDK02", "QUALF", "BELNR", "001").alias("po_number"), E.iso_date(get("E1EDK02", "QUALF", "DATUM", "009")).alias("invoice_date"),
-        get("E1EDK02", "QUALF", "BELNR", "012").alias("delivery_number"), E.parse_trailing_minus(get("E1EDS01", "SUMID", "SUMME", "011")).alias("total_amount"))
+    """Number, date, order, delivery, partners, terms and totals of each IDOC."""
+    return edi.idoc_headers(table(spark, sf, "idocs"))
 
 
 @query()
 def edi_invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per line: quantity, item codes by qualifier, and rates by name, of goods lines with a quantity."""
-    seg = nested.invoice_segments(table(spark, sf, "idocs"))
-    is_seg = lambda s: F.col("segment_name") == s
-    pick = lambda s, code: F.max(F.when(is_seg(s) & (F.col("code") == code), F.nullif("val", F.lit(""))))
-    out = seg.groupBy("idoc_id", "idoc_seq", "line_seq").agg(
-        F.max(F.when(is_seg("E1EDP01"), F.col("code"))).alias("line_no"), E.parse_trailing_minus(F.max(F.when(is_seg("E1EDP01"), F.col("val")))).alias("quantity"), pick("E1EDP19", "001").alias("customer_sku"),
-        pick("E1EDP19", "002").alias("material_number"), pick("E1EDP19", "003").alias("upc"), E.parse_trailing_minus(pick("E1EDP05", "Gross Value")).alias("gross_price"), E.parse_trailing_minus(pick("E1EDP05", "Net Value for Item")).alias("net_price"))
-    return out.where("quantity <> 0")
+    """One row per goods line with a quantity: unit, item codes, words, rates and amounts."""
+    return edi.idoc_lines(table(spark, sf, "idocs"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)invoice') THEN 'text' ELSE 'fallback' END AS extraction_method, CASE WHEN regexp_matches(text, '(?i)invoice') THEN 0.95e0 ELSE 0.3e0 END AS extraction_confidence, length(text) AS n FROM documents WHERE text IS NOT NULL""")
