@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +61,14 @@ def content_id(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """path, content_id, text: UTF-8 with or without mark, else Windows-1252, else Latin-1.
+def decoded(files: DataFrame, *more: str) -> DataFrame:
+    """path, content_id, the columns ``more``, text: UTF-8 with or without mark, else Windows-1252, else Latin-1.
 
     Only files that are not UTF-8 leave the JVM.
     """
+    keep = ["path", "content_id", *more]
     ok = F.is_valid_utf8(F.col("content").cast("string"))
-    plain = files.where(ok).select("path", "content_id", F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("text"))
+    plain = files.where(ok).select(*keep, F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("text"))
 
     def run(batches):
         for pdf in batches:
@@ -78,9 +78,10 @@ def decoded(files: DataFrame) -> DataFrame:
                     texts.append(bytes(b).decode("cp1252"))
                 except UnicodeDecodeError:
                     texts.append(bytes(b).decode("latin-1"))
-            yield pd.DataFrame({"path": pdf["path"], "content_id": pdf["content_id"], "text": texts})
+            yield pdf[keep].assign(text=texts)
 
-    return plain.unionByName(files.where(~ok).mapInPandas(run, "path string, content_id string, text string"))
+    rest = files.where(~ok).select(*keep, "content")
+    return plain.unionByName(rest.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rest.dtypes if n != "content") + ", text string"))
 
 
 def pages(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -20,11 +20,10 @@ def arriving_files(spark: SparkSession, root: str, max_files: int = 1000) -> Dat
 
 
 def classified(arriving: DataFrame) -> DataFrame:
-    """Text files of a stream with their type; no state is kept."""
-    text = F.decode("content", "UTF-8")
-    sorted_out = files.triage(arriving.where(F.is_valid_utf8(F.col("content").cast("string")))).where("kind = 'text'")
+    """Text files of a stream, decoded as in the batch path, with their type; no state is kept."""
+    texts = files.decoded(files.triage(arriving).where("kind = 'text'"), "modified_at")
     c = classify_document(F.col("text"), files.file_name(F.col("path")))
-    return sorted_out.withColumn("text", text).select(
+    return texts.select(
         files.folder(F.col("path")).alias("case_id"), "path", "modified_at", "content_id", c["doc_type"].alias("doc_type"), c["confidence"].alias("confidence"), readable_chars(F.col("text")).alias("n_readable"))
 
 
