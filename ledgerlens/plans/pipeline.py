@@ -13,20 +13,69 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.extract import edi
 from ledgerlens.extract import text as X
 from ledgerlens.functions.exprs import readable_chars
-from ledgerlens.operators.classify import classify_document
-from ledgerlens.operators.match import best_documents
-from ledgerlens.operators.report import EXPECTED, case_documents
+from ledgerlens.operators.classify import classify_claim, classify_document
+from ledgerlens.operators.match import best_documents, best_invoice_lines, credit_memos, shipped_for_claims
+from ledgerlens.operators.receiving import other_shipment_pages
+from ledgerlens.operators.report import EXPECTED, case_documents, primary_totals
 from ledgerlens.sources import files
 
+def _edi(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").rlike(r"INVOIC0[12]")).select(F.col("doc_id").alias("idoc_id"), F.col("text").alias("payload"))
+
+
+def _edi_or_text(of_edi: Callable, of_text: Callable) -> Callable:
+    """Results of EDI messages that hold a goods line, by ``of_edi``; of all other documents by ``of_text``."""
+
+    def run(docs: DataFrame) -> DataFrame:
+        held = edi.idoc_lines(_edi(docs)).select(F.col("idoc_id").alias("doc_id")).distinct()
+        got = of_edi(_edi(docs)).withColumnRenamed("idoc_id", "doc_id").join(held, "doc_id", "left_semi")
+        return of_text(docs.join(held, "doc_id", "left_anti")).unionByName(got, allowMissingColumns=True)
+
+    return run
+
+
+def bol_lines(docs: DataFrame) -> DataFrame:
+    """Shipped rows of each page of a text with its page marks, and whether they are of the primary shipment."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?:^|\n\n)\[page \d+\]\n")).alias("page_number", "text")).where("page_number > 0")
+    head = parts.select("doc_id", "page_number", *(X.first_match(F.col("text"), X.BOL_HEADER[n]).alias(n) for n in ("bol_number", "po_number")), F.lit(None).cast("string").alias("ship_to"))
+    return X.bol_rows(parts).join(other_shipment_pages(head), ["doc_id", "page_number"]).withColumn("belongs_to_primary_shipment", ~F.col("is_other")).drop("is_other")
+
+
+def bol_heads(docs: DataFrame) -> DataFrame:
+    total = primary_totals(bol_lines(docs).withColumnRenamed("doc_id", "bol_id")).select(F.col("bol_id").alias("doc_id"), "total_cases")
+    return X.bol_headers(docs).join(total, "doc_id", "left")
+
+
+def pods(docs: DataFrame) -> DataFrame:
+    """Counts of the stamp, null where there are none, and the references of each receipt."""
+    refs = docs.select("doc_id", *(X.first_match(F.col("text"), p).alias(f"referenced_{n.split('_')[0]}") for n, p in X.POD_REFERENCES.items()))
+    return refs.join(X.pod_totals(docs), "doc_id", "left")
+
+
+def claim_lines(docs: DataFrame) -> DataFrame:
+    """Claimed rows with their type; of a claim without any the compliance row of its promotions.
+
+    A single row without an amount takes the deduction amount of the header.
+    """
+    rows = X.claim_rows(docs)
+    promo = X.promotion_rows(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti"))
+    n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    both = rows.unionByName(promo, allowMissingColumns=True).join(n, "doc_id", "left").join(X.claim_headers(docs).select("doc_id", "deduction_amount"), "doc_id")
+    amount = F.coalesce("adj_amount", F.when(F.col("n") == 1, -F.abs("deduction_amount")))
+    c = classify_claim(F.col("reason_code"), F.col("reason_text"), F.col("description"))
+    return both.withColumn("adj_amount", amount).withColumn("claim_type", c["claim_type"]).drop("n", "deduction_amount")
+
+
 #: Document type: its header and its row extractor.
 EXTRACTORS: dict[str, tuple[Callable, Callable | None]] = {
-    "sales_invoice": (X.invoice_headers, X.invoice_rows),
-    "bill_of_lading": (X.bol_headers, None),
-    "proof_of_delivery": (X.pod_totals, None),
+    "sales_invoice": (_edi_or_text(edi.idoc_headers, X.invoice_headers), _edi_or_text(lambda d: edi.idoc_lines(d).withColumn("pos", F.col("line_seq")), X.invoice_rows)),
+    "bill_of_lading": (bol_heads, bol_lines),
+    "proof_of_delivery": (pods, None),
     "remittance_advice": (lambda d: d.select("doc_id", *(X.first_match(F.col("text"), p).alias(n) for n, p in X.REMITTANCE_HEADER.items())), X.remittance_rows),
-    "deduction_claim": (X.claim_headers, X.claim_rows),
+    "deduction_claim": (X.claim_headers, claim_lines),
 }
 TEXT_CONFIDENCE = {"sales_invoice": 0.95, "bill_of_lading": 0.85, "proof_of_delivery": 0.75, "remittance_advice": 0.9, "deduction_claim": 0.9}
 
@@ -72,14 +121,37 @@ def extract(docs: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def _best(docs: DataFrame) -> DataFrame:
+    scored = docs.withColumn("extraction_confidence", F.when(readable_chars(F.col("text")) > 0, F.element_at(F.create_map(*(F.lit(x) for kv in TEXT_CONFIDENCE.items() for x in kv)), F.col("doc_type"))))
+    return best_documents(scored.where("doc_type <> 'unknown'").select("case_id", "doc_type", "doc_id", "path", "extraction_confidence"))
+
+
+def links(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Every claimed row of the best claim of a case with its invoice row, shipped rows and credit memo, from the best document of each type."""
+    best = _best(docs).select("doc_id").distinct()
+
+    def lines(kind: str, name: str, *place: str) -> DataFrame:
+        d = tables[f"{kind}_lines"].join(best, "doc_id", "left_semi")
+        return d.withColumn(name, F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", *place))))
+
+    inv = lines("sales_invoice", "invoice_line_id", "idoc_seq", "pos")
+    ship = lines("bill_of_lading", "shipped_line_id", "page_number", "pos")
+    number = tables["deduction_claim"].select("doc_id", F.col("invoice_number").alias("claim_invoice_number"))
+    claims = lines("deduction_claim", "claim_line_id", "pos", "upc").join(number, "doc_id", "left")
+    matched = best_invoice_lines(claims, inv)
+    out = claims.select("claim_line_id", "case_id", "doc_id", "pos", "upc", "claim_type", "adj_amount").join(matched, "claim_line_id", "left")
+    out = out.join(inv.select("invoice_line_id", F.col("doc_id").alias("invoice_doc_id"), F.col("pos").alias("invoice_pos")), "invoice_line_id", "left")
+    out = out.join(shipped_for_claims(claims, matched, inv, ship), "claim_line_id", "left")
+    return out.join(credit_memos(claims, lines("remittance_advice", "remittance_line_id", "pos")), "claim_line_id", "left")
+
+
 def reports(docs: DataFrame, skipped: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """One row per case of any file: documents seen and missing, the best document per type, warnings for skipped files.
 
     A type is missing if no document of it was read; files of ``unread`` stand in
     ``documents_unresolved`` ('type :: path', sorted), so that both can be told apart.
     """
-    scored = docs.withColumn("extraction_confidence", F.when(readable_chars(F.col("text")) > 0, F.element_at(F.create_map(*(F.lit(x) for kv in TEXT_CONFIDENCE.items() for x in kv)), F.col("doc_type"))))
-    best = best_documents(scored.where("doc_type <> 'unknown'").select("case_id", "doc_type", "doc_id", "path", "extraction_confidence"))
+    best = _best(docs)
     chosen = best.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", "path")))).alias("best"))
     warned = skipped.groupBy(files.folder(F.col("path")).alias("case_id")).agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "reason"))).alias("warnings"))
     unread = docs.limit(0) if unread is None else unread
@@ -94,8 +166,8 @@ def reports(docs: DataFrame, skipped: DataFrame, unread: DataFrame | None = None
 def run_cases(spark: SparkSession, root: str, out: str | None = None, read_pictures=None) -> dict[str, DataFrame]:
     """All tables of the cases under ``root``, written below ``out`` if given."""
     docs, skipped = documents(spark, root, read_pictures)
-    unread = unresolved(spark, root, docs)
-    tables = {"documents": docs, "skipped": skipped, "unresolved": unread, **extract(docs), "reports": reports(docs, skipped, unread)}
+    unread, found = unresolved(spark, root, docs), extract(docs)
+    tables = {"documents": docs, "skipped": skipped, "unresolved": unread, **found, "links": links(docs, found), "reports": reports(docs, skipped, unread)}
     if out is not None:
         for name, df in tables.items():
             write(df, f"{out}/{name}")
