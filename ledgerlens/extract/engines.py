@@ -67,9 +67,10 @@ def page_texts(lines: DataFrame) -> DataFrame:
 
 
 def ask(prompts: DataFrame, make: Callable[[], Model], system: str, most_at_once: int = 8, longest: int = 20_000) -> DataFrame:
-    """Answers to (key, prompt): key, answer, error. At most ``most_at_once`` tasks call the model.
+    """Answers to (key, prompt): key, answer, error, n_unsent. At most ``most_at_once`` tasks call the model.
 
-    Prompts are cut at ``longest`` characters, as the model's input is bounded; null prompts get null answers.
+    Prompts are cut at ``longest`` characters, as the model's input is bounded; ``n_unsent`` says how
+    many characters the model did not see. Null prompts get null answers.
     """
 
     def run(batches):
@@ -83,10 +84,10 @@ def ask(prompts: DataFrame, make: Callable[[], Model], system: str, most_at_once
                 except Exception as e:
                     answers.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:300])
-            yield pd.DataFrame({"key": pdf["key"], "answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object)})
+            yield pd.DataFrame({"key": pdf["key"], "answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object), "n_unsent": pdf["n_unsent"]})
 
-    cut_off = prompts.select("key", F.substring("prompt", 1, longest).alias("prompt")).repartition(most_at_once)
-    return cut_off.mapInPandas(run, "key string, answer string, error string")
+    cut_off = prompts.select("key", F.substring("prompt", 1, longest).alias("prompt"), F.greatest(F.lit(0), F.coalesce(F.length("prompt"), F.lit(0)) - longest).alias("n_unsent")).repartition(most_at_once)
+    return cut_off.mapInPandas(run, "key string, answer string, error string, n_unsent int")
 
 
 class Retry(Exception):

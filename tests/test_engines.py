@@ -50,6 +50,11 @@ def test_models_answer_by_key(spark):
     assert got == {"a": ("s:2", None), "b": (None, "RuntimeError: x"), "c": (None, None), "d": ("s:20000", None)}
 
 
+def test_cut_prompts_are_marked(spark):
+    df = spark.createDataFrame([("a", "hi"), ("c", None), ("d", "x" * 50_000)], "key string, prompt string")
+    assert {r.key: r.n_unsent for r in ask(df, echo(), "s").collect()} == {"a": 0, "c": 0, "d": 30_000}
+
+
 def test_http_model_tries_again():
     codes = iter([500, 429, 200, 404])
 
