@@ -1,13 +1,13 @@
 """Matching trade items across sources without a shared key.
 
 Claim lines, invoice lines and shipped lines name the same item of a case in codes and words of
-their own. Attributes become fixed bit vectors: the letter pairs of a description's normalised
-words (64 bits) and the digits of an item code by place (50 bits). Close vectors are found exactly
-by multi-index Hamming hashing over the distinct vectors of either side, not over rows: vectors
-within the radius agree in at least one of their chunks. What is close and lies in the claim's case
-is compared field by field with Dice scores; the weight of a field's score is the log-likelihood
-ratio of its level, learned from pairs that another field decides, and the weights add up to a
-calibrated confidence.
+their own. The words, their abbreviations and the words for packages are learned from the lines:
+descriptions of one material use them for each other. Attributes become fixed bit vectors: the
+letter pairs of a description's normalised words (64 bits) and the digits of an item code by place
+(50 bits). Close vectors are found exactly by multi-index Hamming hashing inside the case: vectors
+within the radius agree in at least one of their chunks. What is close is compared field by field
+with Dice scores; the weight of a field's score is the log-likelihood ratio of its level, learned
+from pairs that another field decides, and the weights add up to a calibrated confidence.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,18 +22,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import cut
 
-# fixed values: words of trade descriptions and their abbreviations
-ABBREVIATIONS = {
-    "ORG": "ORGANIC", "MPL": "MAPLE", "PCN": "PECAN", "CRSP": "CRISP", "SOD": "SODIUM", "CHL": "CHILI", "WHL": "WHOLE", "GRN": "GRAIN", "LTLY": "LIGHTLY", "SLTD": "SALTED", "FAM": "FAMILY", "SZ": "SIZE",
-    "UNSWT": "UNSWEETENED", "THN": "THIN", "SLT": "SALT", "CLSTR": "CLUSTER", "CRKR": "CRACKER", "PPR": "PEPPER", "CRKD": "CRACKED", "ORIG": "ORIGINAL", "MULBRY": "MULBERRY", "CHKPEA": "CHICKPEA", "PUF": "PUFF",
-    "SESM": "SESAME", "WSB": "WASABI", "VNLA": "VANILLA", "BRLY": "BARLEY", "LNTL": "LENTIL", "CHP": "CHIP", "RSMRY": "ROSEMARY", "SMKD": "SMOKED", "PAPR": "PAPRIKA", "HNY": "HONEY", "CRM": "CREAM",
-    "CSHW": "CASHEW", "CINN": "CINNAMON", "RSTD": "ROASTED", "GRLC": "GARLIC", "WLNT": "WALNUT", "MX": "MIX",
-}
-PLAIN_WORDS = ("LOW", "LIME", "COCOA", "NIB", "SNAP", "BITE", "RICE", "SEA", "OAT", "SEED", "BAR")
-PACKAGES = ("BAG", "BOX", "CAN", "TUBE", "PACK", "STICK", "POUCH")
-
-_WORDS = {w: w for w in (*PLAIN_WORDS, *ABBREVIATIONS.values())} | ABBREVIATIONS
-_ALL = sorted(_WORDS, key=len, reverse=True)
 _PACK = re.compile(r"(?:(\d+)\s*(?:CT)?\s*[-/X]\s*)?(?:(\d+)\s*(?:CT)?\s*[-/X]\s*)?(\d+)(?:\s*CT\s*|\s*[-/X]\s*)(\d+(?:\.\d+)?)\s*OZ")
 
 #: Bits of a description vector that may differ, and the chunks it is cut into: one more, so that one is equal.
@@ -48,66 +35,147 @@ def _near_forms(w: str) -> set[str]:
     return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
 
-_FORMS: dict[str, set[str]] = {}
-for _w in _WORDS:
-    if len(_w) >= 4:
-        for _f in _near_forms(_w):
-            _FORMS.setdefault(_f, set()).add(_WORDS[_w])
-
-
-@lru_cache(maxsize=100_000)
-def normal_word(w: str) -> str:
-    """The full word of a word, an abbreviation, or one letter off either; else the word itself."""
-    if w in _WORDS:
-        return _WORDS[w]
-    if len(w) >= 3:
-        hit = set().union(*(_FORMS.get(f, ()) for f in _near_forms(w)))
-        if len(hit) == 1:
-            return next(iter(hit))
-    return w
-
-
-def _segment(w: str) -> list[str]:
-    """Words of a glued run, longest first; the rest of a run that does not end in a word is kept."""
-    out = []
-    while w:
-        x = next((x for x in _ALL if w.startswith(x)), None)
-        if x is None:
-            out.append(w)
-            break
-        out.append(x)
-        w = w[len(x) :]
-    return out
-
-
-def _cut_off(w: str, certain: bool) -> bool:
-    """Whether the last word of a text is the start of another one; in a text that is ``certain`` to be cut also if it is a word."""
-    longer = {_WORDS[x] for x in _WORDS if x.startswith(w) and x != w}
-    return bool(longer - {_WORDS.get(w)}) and (certain or w not in _WORDS)
-
-
-def describe(text: str | None) -> tuple[str, str, int]:
+def split_pack(text: str) -> tuple[list[str], str, bool, list[str]]:
+    """(words, pack, whether the pack leads, words behind a pack that ends the text) of a description in capitals."""
+    m = _PACK.search(text)
+    if not m:
+        return re.findall(r"[A-Z]+", text), "", False, []
+    pack = "x".join(str(int(g)) for g in m.groups()[:3] if g) + "x" + m[4]
+    # a pack leads the text or ends it; what follows one that ends it is package and unit
+    leads = not text[: m.start()].strip(" ,-")
+    head, tail = text[: m.start()], text[m.end() :]
+    return re.findall(r"[A-Z]+", tail if leads else head), pack, leads, [] if leads else re.findall(r"[A-Z]+", tail)
+
+
+class Vocabulary:
+    """Words of the trade with their full forms, and words for packages, as the lines themselves use them."""
+
+    def __init__(self, full: dict[str, str], packages=()):
+        self.full, self.packages = full, frozenset(packages)
+        self._longest_first = sorted(full, key=lambda w: (-len(w), w))
+        self._forms: dict[str, set[str]] = {}
+        for w in full:
+            if len(w) >= 4:
+                for f in _near_forms(w):
+                    self._forms.setdefault(f, set()).add(full[w])
+        self._seen: dict[str, str] = {}
+
+    def normal(self, w: str) -> str:
+        """The full word of a word, an abbreviation, or one letter off either; else the word itself."""
+        if w in self.full:
+            return self.full[w]
+        if len(w) < 3:
+            return w
+        if w not in self._seen:
+            if len(self._seen) > 100_000:
+                self._seen.clear()
+            hit = set().union(*(self._forms.get(f, ()) for f in _near_forms(w)))
+            self._seen[w] = next(iter(hit)) if len(hit) == 1 else w
+        return self._seen[w]
+
+    def segment(self, w: str) -> list[str]:
+        """Words of a glued run, longest first; the rest of a run that does not end in a word is kept."""
+        out = []
+        while w:
+            x = next((x for x in self._longest_first if w.startswith(x)), None) or next((x for x in self.packages if w.startswith(x)), None)
+            if x is None:
+                out.append(w)
+                break
+            out.append(x)
+            w = w[len(x) :]
+        return out
+
+    def cut_off(self, w: str, certain: bool) -> bool:
+        """Whether the last word of a text is the start of another one; in a text that is ``certain`` to be cut also if it is a word."""
+        longer = {self.full[x] for x in self.full if x.startswith(w) and x != w}
+        return bool(longer - {self.full.get(w)}) and (certain or w not in self.full)
+
+
+def abbreviates(a: str, b: str) -> bool:
+    """Whether ``a`` is made of letters of ``b`` in order, the first one among them."""
+    at = iter(b)
+    return len(a) < len(b) and a[0] == b[0] and all(c in at for c in a)
+
+
+def vocabulary_of(words: list[tuple[str, int, int, int]], shared: list[tuple[str, str, int]], typo: int = 20, together: float = 0.6, behind: float = 0.2) -> Vocabulary:
+    """The vocabulary from counts: (word, lines, lines that have it behind the pack, materials), and (a, b, materials that have both).
+
+    A word that is ``typo`` times rarer than one a letter away, or than one it is the start of, is
+    a slip of it; one that is put together from others is a glued run. Of the words that ``a`` may
+    abbreviate it is the one that most of its materials have, and at least a share ``together``.
+    A word of which a share ``behind`` stands behind the pack is a package.
+    """
+    packages = {w for w, n, after, _ in words if after >= behind * n}
+    lines = {w: n for w, n, _, _ in words if w not in packages and len(w) > 1 and w not in ("CT", "OZ")}
+    forms: dict[str, int] = {}
+    for w, n in lines.items():
+        for f in _near_forms(w) | {w[:k] for k in range(2, len(w))}:
+            forms[f] = max(forms.get(f, 0), n)
+    kept = {w for w, n in lines.items() if max((forms.get(f, 0) for f in (_near_forms(w) if len(w) > 3 else {w})), default=0) < typo * n}
+
+    def glued(w: str) -> bool:
+        ends = {0}
+        for k in range(2, len(w) + 1):
+            if any(w[i:k] in kept | packages and k - i > 1 and k - i < len(w) for i in ends):
+                ends.add(k)
+        return len(w) in ends
+
+    kept -= {w for w in kept if len(w) >= 8 and glued(w)}
+    materials = {w: m for w, _, _, m in words}
+    best: dict[str, tuple[float, str]] = {}
+    for a, b, n in shared:
+        if a in kept and b in kept and abbreviates(a, b) and n >= together * materials[a]:
+            best[a] = max(best.get(a, (0.0, "")), (n / materials[a], b))
+    full = {}
+    for w in kept:
+        x = w
+        while x in best:  # longer each time
+            x = best[x][1]
+        full[w] = x
+    return Vocabulary(full, packages)
+
+
+#: Least share of the lines, and lines, that hold a word of the vocabulary; so there are at most some hundred thousand of them.
+WORD_SHARE, WORD_LINES = 1e-5, 5
+
+
+def learn_vocabulary(texts: DataFrame) -> Vocabulary:
+    """The vocabulary of ``texts`` (material, description, n): see ``vocabulary_of``."""
+
+    def words(batches):
+        for pdf in batches:
+            rows = []
+            for m, t, n in zip(pdf["material"], pdf["description"], pdf["n"]):
+                found, _, _, tail = split_pack(t.upper())
+                rows += [(m, w, int(n), 0) for w in set(found)] + [(m, w, int(n), int(n)) for w in tail[:1]]
+            yield pd.DataFrame(rows, columns=["material", "word", "n", "behind"])
+
+    per = cut(texts.mapInPandas(words, "material string, word string, n long, behind long").groupBy("material", "word").agg(F.sum("n").alias("n"), F.sum("behind").alias("behind")))
+    lines = texts.agg(F.sum("n")).first()[0] or 0
+    often = per.groupBy("word").agg(F.sum("n").alias("n"), F.sum("behind").alias("behind"), F.count(F.lit(1)).alias("m")).where(F.col("n") >= max(WORD_LINES, WORD_SHARE * lines))
+    often = cut(often)
+    of = per.join(often.select("word"), "word").select("material", "word", F.substring("word", 1, 1).alias("letter"))
+    letters = F.concat(F.lit("^"), F.regexp_replace("a", "(.)", "$1.*"))
+    both = of.withColumnRenamed("word", "a").join(of.withColumnRenamed("word", "b"), ["material", "letter"]).where((F.length("a") < F.length("b")) & F.rlike("b", letters))
+    shared = both.groupBy("a", "b").count()
+    return vocabulary_of([tuple(r) for r in often.select("word", "n", "behind", "m").collect()], [tuple(r) for r in shared.collect()])
+
+
+def describe(text: str | None, vocabulary: Vocabulary) -> tuple[str, str, int]:
     """(normalised words in order, pack, bit vector) of a description; pack '' if cut off or missing."""
     if not text:
         return "", "", 0
-    t = text.upper()
-    pack, leads = "", False
-    if m := _PACK.search(t):
-        pack = "x".join(str(int(g)) for g in m.groups()[:3] if g) + "x" + m[4]
-        # a pack leads the text or ends it; what follows one that ends it is package and unit
-        leads = not t[: m.start()].strip(" ,-")
-        t = t[m.end() :] if leads else t[: m.start()]
-    words = []
-    found = re.findall(r"[A-Z]+", t)
-    if found and _cut_off(found[-1], certain=not pack) and (not pack or leads):
+    found, pack, leads, _ = split_pack(text.upper())
+    if found and (not pack or leads) and vocabulary.cut_off(found[-1], certain=not pack):
         found.pop()
+    words, packages = [], vocabulary.packages
     for w in found:
-        if w in PACKAGES or (len(w) == 2 and pack and any(p.startswith(w) for p in PACKAGES)):
+        if w in packages or (len(w) == 2 and pack and any(p.startswith(w) for p in packages)):
             continue
-        n = normal_word(w)
-        words += [n] if n != w or w in _WORDS or len(w) < 8 else [normal_word(x) for x in _segment(w) if x not in PACKAGES]
-    known = sorted({w for w in words if w in _WORDS})
-    rest = sorted({w for w in words if w not in _WORDS and len(w) >= 4})
+        n = vocabulary.normal(w)
+        words += [n] if n != w or w in vocabulary.full or len(w) < 8 else [vocabulary.normal(x) for x in vocabulary.segment(w) if x not in packages]
+    known = sorted({w for w in words if w in vocabulary.full})
+    rest = sorted({w for w in words if w not in vocabulary.full and len(w) >= 4})
     return " ".join(known + rest), pack, word_bits(known + rest)
 
 
@@ -148,48 +216,69 @@ def claim_codes(upc: Column) -> tuple[Column, Column, Column]:
     return five, four, F.when(letters | ((n == 7) & ~filler), sku)
 
 
-def near_vectors(left: DataFrame, right: DataFrame, radius: int = WORD_RADIUS) -> DataFrame:
-    """(a, b) of the distinct 64-bit vectors of ``left.v`` and ``right.v`` that differ in at most ``radius`` bits.
+#: Width of a cell of log prices, by which prices alone propose an item.
+PRICE_CELL = 0.02
 
-    Multi-index hashing: both sides are cut into ``radius`` + 1 chunks, of which close vectors share
-    one; pairs that share one are compared in full. Exact.
-    """
-    m = radius + 1
-    edge = [64 * i // m for i in range(m + 1)]
 
-    def chunks(df: DataFrame, name: str) -> DataFrame:
-        parts = F.array(*(F.shiftrightunsigned("v", edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)) for i in range(m)))
-        return df.select("v").where(F.col("v").isNotNull()).distinct().select(F.col("v").alias(name), F.posexplode(parts).alias("k", "chunk"))
+def _word_chunks(v: Column) -> list[Column]:
+    """Chunks of a 64-bit vector: of vectors within the radius one is equal."""
+    edge = [64 * i // WORD_CHUNKS for i in range(WORD_CHUNKS + 1)]
+    return [F.shiftrightunsigned(v, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edge, edge[1:])]
+
 
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return chunks(left, "a").join(chunks(right, "b"), ["k", "chunk"]).where(apart <= radius).select("a", "b").distinct()
+def _code_chunks(c: Column) -> list[Column]:
+    """Chunks of a five-digit code, whose vector has one bit for each digit at each place: two places apart are at most two of the three."""
+    return [F.substring(c, 1, 2), F.substring(c, 3, 2), F.substring(c, 5, 1)]
 
 
-def near_codes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of the distinct five-digit codes of ``left.v`` and ``right.v`` that differ in at most two places.
+def _keys(case: Column, **kinds: tuple[Column, list[Column]]) -> Column:
+    """One hash per case, kind and chunk, of the kinds that hold."""
+    parts = [F.when(ok, F.array(*(F.xxhash64(case, F.lit(f"{kind}{i if kind != 'price' else ''}"), c.cast("string")) for i, c in enumerate(chunks)))).otherwise(F.array().cast("array<bigint>")) for kind, (ok, chunks) in kinds.items()]
+    return F.explode(F.array_distinct(F.flatten(F.array(*parts))))
 
-    The vector of a code has one bit for each digit at each place; two places apart are at most
-    two of the three chunks (places 1-2, 3-4, 5), so one is equal. Exact.
+
+def _cell(price: Column) -> Column:
+    return F.floor(F.log(price) / PRICE_CELL)
+
+
+def near_pairs(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """(claim_line_id, case_id, item): the items of a claim's case that may be what it claims.
+
+    Multi-index hashing inside the case: both sides are hashed by the chunks of their description
+    vector, of which close vectors share one, of their code, and by code endings, sku and, where a
+    claim has little else, cells of the price; pairs with a key in common are compared in full.
+    Exact within the radii. A case of any size is as many keys as its vectors have chunks.
     """
+    left = claims.select("claim_line_id", "case_id", "c_v", "c_pack", "five", "four", "sku_item", F.when(_weak(), F.col("claim_price")).alias("weak_price")).select("*", _keys(
+        F.col("case_id"), word=(F.col("c_v") != 0, _word_chunks(F.col("c_v"))), code=(F.length("five") == 5, _code_chunks(F.col("five"))), four=(F.col("four").isNotNull(), [F.col("four")]),
+        sku=(F.col("sku_item").isNotNull(), [F.col("sku_item")]), price=(F.col("weak_price").isNotNull(), [_cell(F.col("weak_price")) + d for d in (-1, 0, 1)])).alias("key"))
+    right = items.select(F.col("case_id").alias("i_case"), "item", "v", "pack", "price", "net").select("*", _keys(
+        F.col("i_case"), word=(F.coalesce("v", F.lit(0)) != 0, _word_chunks(F.col("v"))), code=(F.length("item") == 5, _code_chunks(F.col("item"))), four=(F.length("item") == 5, [F.substring("item", 2, 4)]),
+        sku=(F.lit(True), [F.col("item")]), price=(F.col("price") > 0, [_cell(F.col("price")), _cell(F.coalesce("net", "price"))])).alias("key"))
+    some_pack = (F.col("c_pack") == "") | (F.coalesce("pack", F.lit("")) == "") | (F.col("c_pack") == F.col("pack"))
+    near = (F.col("c_v") != 0) & (F.col("v") != 0) & (F.bit_count(F.col("c_v").bitwiseXOR(F.col("v"))) <= WORD_RADIUS) & some_pack
+    places = sum((F.substring("five", i, 1) == F.substring("item", i, 1)).cast("int") for i in range(1, 6))
+    coded = (F.length("item") == 5) & ((places >= 5 - CODE_PLACES) | (F.substring("item", 2, 4) == F.col("four")))
+    priced = (F.abs(_cell(F.col("weak_price")) - _cell(F.col("price"))) <= 1) | (F.abs(_cell(F.col("weak_price")) - _cell(F.coalesce("net", "price"))) <= 1)
+    meets = F.coalesce(near, F.lit(False)) | F.coalesce(coded, F.lit(False)) | F.coalesce(F.col("sku_item") == F.col("item"), F.lit(False)) | F.coalesce(priced & (F.col("price") > 0), F.lit(False))
+    return left.join(right, "key").where((F.col("case_id") == F.col("i_case")) & meets).select("claim_line_id", "case_id", "item").distinct()
 
-    def chunks(df: DataFrame, name: str) -> DataFrame:
-        parts = F.array(F.substring("v", 1, 2), F.substring("v", 3, 2), F.substring("v", 5, 1))
-        return df.select("v").where(F.length("v") == 5).distinct().select(F.col("v").alias(name), F.posexplode(parts).alias("k", "chunk"))
 
-    same = sum((F.substring("a", i, 1) == F.substring("b", i, 1)).cast("int") for i in range(1, 6))
-    return chunks(left, "a").join(chunks(right, "b"), ["k", "chunk"]).where(same >= 5 - CODE_PLACES).select("a", "b").distinct()
+def _weak() -> Column:
+    """Claims that neither a code nor words and pack describe; their price proposes items."""
+    return F.col("five").isNull() & F.col("four").isNull() & F.col("sku_item").isNull() & (F.col("claim_price") > 0) & ((F.col("c_pack") == "") | (F.col("c_v") == 0))
 
 
 _DESCRIBED = "words string, pack string, v long"
 
 
-def _described(df: DataFrame) -> DataFrame:
+def _described(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The rows of ``df`` with words, pack and vector of their description."""
     names = df.columns
 
     def run(batches):
         for pdf in batches:
-            d = [describe(t if isinstance(t, str) else None) for t in pdf["description"]]
+            d = [describe(t if isinstance(t, str) else None, vocabulary) for t in pdf["description"]]
             out = pdf[names].copy()
             out["words"], out["pack"], out["v"] = [x[0] for x in d], [x[1] for x in d], [x[2] for x in d]
             yield out
@@ -203,8 +292,8 @@ OWN = "d|"
 SAME_PRICE, USUAL_PRICE = 0.0005, 0.05
 
 
-def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines, catalogue): lines with their item, and items with words, pack and vector.
+def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Vocabulary]:
+    """(lines, catalogue, vocabulary): lines with their item, items with words, pack and vector, and the words of the lines.
 
     An item is a material; the catalogue describes it by its longest description, which is pre-
     aggregated per material. A line without a material takes the item that its description names,
@@ -227,17 +316,19 @@ def case_lines(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: Da
             F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("net")),
     ]
     both = parts[0].unionByName(parts[1]).where(F.col("case_id").isNotNull()).select("*", material_code(F.col("material_number")).alias("material")).drop("material_number")
-    longest = both.where(F.col("material").isNotNull() & F.col("description").isNotNull()).groupBy("material").agg(F.max(F.struct(F.length("description").alias("n"), F.col("description").alias("t"))).alias("d"))
-    catalogue = cut(_described(longest.select(F.col("material").alias("item"), F.col("d.t").alias("description"))).drop("description"))
+    texts = cut(both.where(F.col("material").isNotNull() & F.col("description").isNotNull()).groupBy("material", "description").agg(F.count(F.lit(1)).alias("n")))
+    vocabulary = learn_vocabulary(texts)
+    longest = texts.groupBy("material").agg(F.max(F.struct(F.length("description").alias("n"), F.col("description").alias("t"))).alias("d"))
+    catalogue = cut(_described(longest.select(F.col("material").alias("item"), F.col("d.t").alias("description")), vocabulary).drop("description"))
     named = catalogue.where(F.col("pack") != "").groupBy("words", "pack").agg(F.min("item").alias("named"))
-    loose = _described(both.where(F.col("material").isNull() & F.col("description").isNotNull()).select("description").distinct())
+    loose = _described(both.where(F.col("material").isNull() & F.col("description").isNotNull()).select("description").distinct(), vocabulary)
     loose = cut(loose.where(F.col("words") != "").join(named, ["words", "pack"], "left").select(
         "description", F.coalesce("named", F.concat(F.lit(OWN), F.concat_ws("|", "words", "pack"))).alias("loose_item"), F.col("named").isNull().alias("own"), "words", "pack", "v"))
     lines = both.withColumn("wording", F.when(F.col("material").isNull(), F.col("description"))).join(loose.select(F.col("description").alias("wording"), "loose_item"), "wording", "left")
     item = F.coalesce("material", "loose_item")
     lines = lines.select("target_table", "target_line_id", "case_id", item.alias("item"), F.when(item.isNull() | item.startswith(OWN), F.col("sku")).alias("sku"), "price", "net")
     own = loose.where("own").select(F.col("loose_item").alias("item"), "words", "pack", "v").dropDuplicates(["item"])
-    return lines, catalogue.unionByName(own)
+    return lines, catalogue.unionByName(own), vocabulary
 
 
 def items_in_case(lines: DataFrame, catalogue: DataFrame, sku_items: DataFrame) -> DataFrame:
@@ -294,10 +385,6 @@ def claims_with_case(claim_lines: DataFrame, invoices: DataFrame, bols: DataFram
     return c.where(F.col("own_case").isNotNull()).select("claim_line_id", F.col("own_case").alias("case_id"), "five", "four", "sku", "description", "claim_price").unionByName(found)
 
 
-#: Width of a cell of log prices, by which prices alone propose an item.
-PRICE_CELL = 0.02
-
-
 def _levels(p: DataFrame) -> DataFrame:
     """Candidate pairs with the levels of their fields' Dice scores; 0 is 'cannot tell'."""
     bits = lambda c: F.bit_count(F.col(c))
@@ -343,10 +430,18 @@ def learned_weights(counts: list[tuple[int, int, int, float]]) -> tuple[float, d
     words = ratios(0, range(8), lambda c: c[1] in same_code, lambda c: c[1] in other_code)
     code = ratios(1, range(5), lambda c: c[0] in same_words, lambda c: c[0] in other_words)
     price = ratios(2, range(4), lambda c: c[0] in same_words and c[1] in same_code, lambda c: c[0] in other_words and c[1] in other_code)
-    total = sum(c[3] for c in counts) + 2.0
-    known = sum(c[3] for c in counts if c[0] in same_words or c[1] in same_code) + 1.0
-    p = min(max(known / total, 0.01), 0.99)
-    return math.log(p / (1 - p)), {"words": words, "code": code, "price": price}
+    weights = {"words": words, "code": code, "price": price}
+    # the prior: the share of pairs that are matches, as the weights themselves say (expectation maximisation)
+    total = sum(c[3] for c in counts)
+    p = 0.5
+    for _ in range(200 if total else 0):
+        odds = p / (1 - p)
+        at = [odds * math.exp(words[c[0]] + code[c[1]] + price[c[2]]) for c in counts]
+        new = min(max(sum(c[3] * o / (1 + o) for c, o in zip(counts, at)) / total, 0.01), 0.99)
+        p, moved = new, abs(new - p)
+        if moved < 1e-9:
+            break
+    return math.log(p / (1 - p)), weights
 
 
 def match_items(
@@ -361,36 +456,20 @@ def match_items(
     the primary shipment. Repeated claims and lines count each; empty tables give no rows; texts
     of any length are read whole; other columns are ignored.
     """
-    lines, catalogue = case_lines(invoice_lines, shipped_lines, uom_codes)
+    lines, catalogue, vocabulary = case_lines(invoice_lines, shipped_lines, uom_codes)
     lines = cut(lines)
     catalogue = cut(catalogue)
     sku_items = shipped_lines.select(sku_key(F.col("customer_sku")).alias("sku"), material_code(F.col("material_number")).alias("m")).where(F.col("sku").isNotNull() & F.col("m").isNotNull())
     sku_items = sku_items.groupBy("sku", "m").agg(F.count(F.lit(1)).alias("n")).groupBy("sku").agg(F.max_by("m", F.struct("n", "m")).alias("sku_item"))
     lines = cut(items_in_case(lines, catalogue, sku_items))
-    claims = cut(_described(claims_with_case(claim_lines, invoices, bols)).withColumnsRenamed({"words": "c_words", "pack": "c_pack", "v": "c_v"}).drop("description"))
+    claims = cut(_described(claims_with_case(claim_lines, invoices, bols), vocabulary).withColumnsRenamed({"words": "c_words", "pack": "c_pack", "v": "c_v"}).drop("description"))
     by_sku = claims.where(F.col("sku").isNotNull()).select("sku").distinct().join(sku_items, "sku")
     # a code that is another item's is no mistyped one
     known = claims.where(F.col("five").isNotNull()).select("five").distinct().join(catalogue.select(F.col("item").alias("five")), "five", "left_semi").withColumn("five_known", F.lit(True))
     claims = cut(claims.join(by_sku, "sku", "left").join(known, "five", "left").withColumn("five_known", F.coalesce("five_known", F.lit(False))))
     in_case = lines.groupBy("case_id", "item").agg(F.max("price").alias("price"), F.max("net").alias("net"))
 
-    # who may be whom: over distinct vectors and codes
-    by_words = near_vectors(claims.where("c_v <> 0").select(F.col("c_v").alias("v")), catalogue.where("v <> 0")).join(catalogue.select(F.col("v").alias("b"), "item", "pack"), "b")
-    by_code = near_codes(claims.select(F.col("five").alias("v")), catalogue.select(F.col("item").alias("v")))
-    by_four = claims.where(F.col("four").isNotNull()).select("four").distinct().join(catalogue.where(F.length("item") == 5).select("item", F.substring("item", 2, 4).alias("four")), "four")
-    key = ["claim_line_id", "case_id"]
-    some_pack = (F.col("c_pack") == "") | (F.col("pack") == "") | (F.col("c_pack") == F.col("pack"))
-    proposed = (
-        claims.join(by_words, F.col("c_v") == F.col("a")).where(some_pack).select(*key, "item")
-        .union(claims.join(by_code, F.col("five") == F.col("a")).select(*key, F.col("b").alias("item")))
-        .union(claims.join(by_four, "four").select(*key, "item"))
-        .union(claims.where(F.col("sku_item").isNotNull()).select(*key, F.col("sku_item").alias("item")))
-    )
-    cells = lambda p, spread: F.explode(F.array_distinct(F.flatten(F.array(*(F.array(*(F.floor(F.log(F.col(x)) / PRICE_CELL) + s for s in spread)) for x in p)))))
-    weak = claims.where(F.col("five").isNull() & F.col("four").isNull() & F.col("sku_item").isNull() & (F.col("claim_price") > 0) & ((F.col("c_pack") == "") | (F.col("c_v") == 0)))
-    by_price = weak.select(*key, cells(["claim_price"], (-1, 0, 1)).alias("cell")).join(
-        in_case.where("price > 0").select("case_id", "item", cells(["price", "net"], (0,)).alias("cell")), ["case_id", "cell"]).select(*key, "item")
-    pairs = proposed.union(by_price).join(in_case, ["case_id", "item"]).dropDuplicates(["claim_line_id", "item"])
+    pairs = near_pairs(claims, in_case.join(catalogue.select("item", "v", "pack"), "item", "left")).join(in_case, ["case_id", "item"])
     facts = claims.select("claim_line_id", "five", "five_known", "four", "sku_item", "c_pack", "c_v", "claim_price")
     levels = cut(_levels(pairs.join(facts, "claim_line_id").join(catalogue, "item", "left")))
 
