@@ -1,16 +1,19 @@
 """Same postal address written differently.
 
 Texts are parsed into components: company and its site number, house number, unit, direction,
-street, street type, city, state, postcode. Candidates come from a deletion-neighbourhood index on
-the street inside blocks of the postcode and of neighbouring localities: two streets within one
-edit share a form with one letter removed. A candidate pair is judged by the optimal assignment of
-its words, with hard vetoes on house number, unit, direction, numbered street, street type, state,
-postcode and city. What is linked forms places; texts without a street join the one place of their
-company's site.
+street tokens, street type, city, state, postcode. Candidates come from a deletion-neighbourhood
+index on the street's tokens inside blocks of the postcode and of neighbouring localities: a token
+is indexed by its forms with one letter removed, a long one by those of its first and last letters,
+which two edits cannot both reach. A candidate pair is judged by the optimal assignment of its
+street tokens and of its names, with hard vetoes on house number, unit, direction, numbered street,
+street type, state, postcode and city. What is linked forms places, in which no veto may remain: a
+text that lacks what its place disagrees on leaves it and joins the one place that all its partners
+are in. Texts without a street join the one place of their company's site, or are one of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -41,7 +44,12 @@ ORDINALS = {
 }
 TENS = {"TWENT": 20, "THIRT": 30, "FORT": 40, "FIFT": 50, "SIXT": 60, "SEVENT": 70, "EIGHT": 80, "NINET": 90}
 
-_NOTES = re.compile(r"\bC/O\s+INBOUND\s+DESK\b|\bC/O\b[^,;/|]*|\bATTN:?\s+RECEIVING\b|\bATTENTION:?\s+RECEIVING\b|\bREAR\s+GATE\b|\bDOCK\s+(?:DOOR\s+)?#?\d+\b|\bU\.?S\.?A\.?(?=\W|$)|\bUNITED STATES\b")
+_DESK = r"(?:INBOUND|OUTBOUND|RECEIVING|SHIPPING|LOGISTICS|DELIVER(?:Y|IES)|GOODS[ -]IN|DOCK|WAREHOUSE)"
+_NOTES = re.compile(
+    rf"\b(?:C/O|ATTN|ATTENTION)\b:?\s+{_DESK}(?:\s+(?:DESK|DEPT\.?|DEPARTMENT|OFFICE|CLERK|MANAGER|TEAM)\b)?|\b(?:C/O|ATTN|ATTENTION|CARE OF)\b[^,;/|]*"
+    r"|\b(?:REAR|FRONT|SIDE|MAIN|TRUCK)\s+(?:GATE|DOCK|DOOR|ENTRANCE)\b|\b(?:DOCK|BAY|GATE)\s+(?:(?:DOOR|NO\.?)\s+)?#?\d+\b|\bU\.?S\.?A\.?(?=\W|$)|\bUNITED STATES(?: OF AMERICA)?\b"
+)
+_BOX = re.compile(r"\b(?:P\.?\s?O\.?|POST OFFICE)\s?BOX\s+#?0*(\d+)\b")
 _SITE = re.compile(r"(?:\bD\.?\s?C\.?\s*#?\s*0*(\d{1,3})\b|\bDIST(?:RIBUTION|\.)?\s+(?:CENTER|CTR\.?)\s+(?:NO\.?\s*|#\s*)?0*(\d{1,3})\b|#\s*0*(\d{1,4})\b|\bNO\.?\s*0+(\d{1,3})\b|\bNO\.?\s+(\d{3})\b|\bNO\.?\s*(\d{1,3})\b(?=\s*(?:[,;/|]|$)))")
 _COUNTY = re.compile(r"\b(?:COUNTY|CNTY\.?|CO\.?|CTY\.?)\s+(?:ROAD|RD\.?)\s+(\d+)\b|\bC\.?R\.?\s+(\d+)\b")
 _UNIT = re.compile(r"\b(?:SUITE|STE\.?|UNIT|APT\.?|BLDG\.?|ROOM|RM\.?)\s+#?([A-Z0-9]+)\b")
@@ -62,7 +70,7 @@ def _ordinal(w: str) -> str:
 
 
 def parse_address(text: str) -> dict[str, str]:
-    """Components of one address text, '' where missing."""
+    """Components of one address text, '' where missing; the street's tokens are parted by spaces."""
     out = _parse(text, True)
     if out["site"] and not out["num"] and (other := _parse(text, False))["stype"]:
         return other  # what looked like the site's number is the house number
@@ -74,6 +82,8 @@ def _parse(text: str, with_site: bool) -> dict[str, str]:
     t = re.sub(r"\s*\n\s*|\s*;\s*|\s+/\s+|\s*,\s*|\s*\|\s*", " | ", text.upper().strip())
     t = re.sub(r"[^\S\n]+", " ", t)
     t = _NOTES.sub(" | ", t)
+    box = _BOX.search(t)
+    t = _BOX.sub(" | ", t)
     if m := _UNIT.search(t):
         out["unit"] = m[1]
         t = t[: m.start()] + " | " + t[m.end() :]
@@ -119,8 +129,10 @@ def _parse(text: str, with_site: bool) -> dict[str, str]:
         if j < len(words) and words[j] in DIRECTIONS and not d and ty:
             d = DIRECTIONS[words[j]]
             j += 1
-        out |= {"num": words[i].lstrip("0") or "0", "street": "".join(name), "stype": ty, "dir": d}
+        out |= {"num": words[i].lstrip("0") or "0", "street": " ".join(name), "stype": ty, "dir": d}
         words[i:j] = ["|"]
+    elif box:  # a post office box is a place of its own kind
+        out |= {"num": box[1], "street": "POBOX", "stype": "BOX"}
     if not out["zip"]:
         for i in range(len(words) - 1, -1, -1):
             if re.fullmatch(r"\d{5}", words[i]):
@@ -193,62 +205,136 @@ def edits(a: str, b: str, most: int = 3) -> int:
     return min(one[-1], most)
 
 
-def deletions(s: str) -> list[str]:
-    """The street and its forms with one letter removed; a numbered street only itself."""
-    if not s or any(c.isdigit() for c in s):
-        return [s]
-    return sorted({s, *(s[:i] + s[i + 1 :] for i in range(len(s)))})
+def deletions(s: str) -> set[str]:
+    """The token and its forms with one letter removed."""
+    return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+
+
+#: Letters from which a token may have two edits, and the letters of its start and end that are indexed.
+LONG, END = 9, 4
+
+
+def token_forms(t: str) -> set[str]:
+    """What a street token is indexed by: tokens within one edit share a form, of long ones those
+    within two, of which either the first or the last letters have one at most. A number only itself."""
+    if any(c.isdigit() for c in t):
+        return {t}
+    out = deletions(t) if len(t) < LONG else set()
+    if len(t) >= LONG - 2:
+        out |= {"^" + f for f in deletions(t[:END])} | {"$" + f for f in deletions(t[-END:])}
+    return out
+
+
+def best_assignment(worth: list[list[float]]) -> float:
+    """Greatest total of ``worth`` when every row takes at most one column and every column serves one row; exact."""
+    best = {0: 0.0}
+    for row in worth:
+        new = dict(best)
+        for used, total in best.items():
+            for k, w in enumerate(row):
+                if w > 0 and not used >> k & 1 and new.get(used | 1 << k, -1.0) < total + w:
+                    new[used | 1 << k] = total + w
+        best = new
+    return max(best.values())
 
 
 #: Least agreement of the assigned components of one place, of at most 1.
 LEAST = 0.6
+#: Components by which a pair can be vetoed, as bits.
+VETOES = {k: 1 << i for i, k in enumerate(("unit", "dir", "stype", "state", "zip", "city", "num", "street"))}
+#: Too far apart to be linked, but both may be slips of one spelling between them; so no veto for a place.
+SLIP = 1 << len(VETOES)
+
 
+def _tokens_alike(x: str, y: str) -> float:
+    """1 for equal tokens, less by a third an edit; 0 for different ones."""
+    if x == y:
+        return 1.0
+    if any(c.isdigit() for c in x + y):
+        return 0.0
+    d = edits(x, y)
+    return 1 - d / 3 if d <= (2 if min(len(x), len(y)) >= LONG else 1) else 0.0
 
-def assignment(a, b) -> float:
-    """Agreement of two parsed addresses from 0 to 1; 0 by veto.
 
-    Every component of ``a`` is assigned to at most one of ``b`` of its kind, where kind is fixed for
-    marked components while city and brand may change roles; the best total wins. A component
-    that one side lacks neither helps nor harms.
+def streets_alike(a: str, b: str) -> float:
+    """Agreement of two streets from 0 to 1 by the optimal assignment of their tokens, 0 if they are different.
+
+    Every token of the shorter one has to find its own in the other; streets that differ only by
+    spaces are equal. Numbered tokens have to be equal and on both sides.
     """
+    if a == b:
+        return 1.0
+    whole = _tokens_alike(a.replace(" ", ""), b.replace(" ", ""))
+    x, y = sorted((a.split(), b.split()), key=len)
+    if sorted(t for t in x if t[0].isdigit()) != sorted(t for t in y if t[0].isdigit()):
+        return whole
+    alike = [[_tokens_alike(p, q) for q in y] for p in x]
+    if not all(any(row) for row in alike):
+        return whole
+    total = best_assignment(alike)
+    return max(whole, total / len(y) if total > len(x) - 1 else 0.0)
+
+
+def streets_apart(a: str, b: str) -> bool:
+    """Whether no third spelling can be within reach of both streets."""
+    x, y = a.replace(" ", ""), b.replace(" ", "")
+    return any(c.isdigit() for c in x + y) or edits(x, y, 5) > (4 if min(len(x), len(y)) >= LONG else 2)
+
+
+def assignment(a, b) -> tuple[float, int]:
+    """(agreement of two parsed addresses from 0 to 1, VETOES and SLIP against it).
+
+    Components are assigned to those of their kind, the tokens of the street among each other, city
+    and company so that their total is best, as they may change roles. A component that one side
+    lacks neither helps nor harms; a street token does if postcode, city or company do not stand in.
+    """
+    veto = 0
     for k in ("num", "unit", "dir", "stype", "state"):
         if a[k] and b[k] and a[k] != b[k]:
-            return 0.0
+            veto |= VETOES[k]
     got = most = 0.0
-    if a["street"] and b["street"]:
-        numbered = any(c.isdigit() for c in a["street"] + b["street"])
-        d = edits(a["street"], b["street"])
-        if d and (numbered or d > (2 if min(len(a["street"]), len(b["street"])) >= 9 else 1)):
-            return 0.0
-        got, most = got + 3 - d, most + 3
-    near = False
+    shares = street = a["street"] and b["street"]
+    if street:
+        alike = streets_alike(a["street"], b["street"])
+        apart = not alike and streets_apart(a["street"], b["street"])
+        dropped = len(a["street"].split()) != len(b["street"].split()) and a["street"].replace(" ", "") != b["street"].replace(" ", "")
+        if not alike:
+            veto |= VETOES["street"] if apart else SLIP
+        got, most = got + 3 * alike, most + 3
+    near = same_zip = False
     if a["zip"] and b["zip"]:
         d = edits(a["zip"], b["zip"])
         if d > 1:
-            return 0.0
-        near = True
-        got, most = got + 2 - d, most + 2
+            veto |= VETOES["zip"] if d > 2 else SLIP
+        else:
+            near = same_zip = True
+        got, most = got + max(0, 2 - d), most + 2
+    same_city = False
     if a["city"] and b["city"]:
-        straight = edits(a["city"], b["city"])
-        cross = min(edits(a["city"], b["brand"]), edits(a["brand"], b["city"])) if a["brand"] and b["brand"] else 3
-        d = min(straight, cross)
-        if d > 2:
-            return 0.0
-        near = True
-        got, most = got + 2 - d / 2, most + 2
-    if a["brand"] and a["brand"] == b["brand"] and a["state"] and b["state"]:
+        alike = lambda x, y: max(0.0, 1 - edits(x, y) / 4) if x and y and edits(x, y) <= 2 else 0.0
+        # names: the city of one may be read as the company of the other
+        worth = best_assignment([[alike(a["city"], b["city"]), alike(a["city"], b["brand"])], [alike(a["brand"], b["city"]), 0.0]])
+        if not worth:
+            veto |= VETOES["city"] if edits(a["city"], b["city"], 4) > 3 else SLIP
+        else:
+            near = same_city = True
+        got, most = got + 2 * min(1.0, worth), most + 2
+    same_brand = bool(a["brand"]) and a["brand"] == b["brand"]
+    if same_brand and a["state"] and b["state"]:
         near = True
-    site = bool(a["site"] and a["site"] == b["site"] and a["brand"] and a["brand"] == b["brand"])
+    site = bool(a["site"]) and a["site"] == b["site"] and same_brand
     if site:
         got, most = got + 1, most + 1
-    if a["street"] and b["street"]:
-        return got / most if near or site else 0.0
-    return got / most if site and near else 0.0
+    if veto:
+        return 0.0, veto
+    if street and dropped and not (same_zip + same_city + site >= 2):
+        return 0.0, 0
+    return (got / most if (near or site if shares else site and near) else 0.0), 0
 
 
-def block_keys(p) -> list[str]:
-    """Keys under which a text is compared: street forms within locality blocks, and the company's site."""
-    keys = []
+def block_keys(p) -> list[int]:
+    """Hashes of the keys under which a text is compared: forms of its street tokens within its number and locality blocks, and the company's site."""
+    keys = set()
     if p["num"] and p["street"]:
         blocks = []
         if p["zip"]:
@@ -259,26 +345,34 @@ def block_keys(p) -> list[str]:
             blocks.append("s" + p["state"])
         if p["brand"]:
             blocks.append("b" + p["brand"])
-        keys += [f"{p['num']}|{v}|{b}" for v in deletions(p["street"]) for b in blocks]
+        forms = {f for t in p["street"].split() for f in token_forms(t)}
+        if " " in p["street"]:  # words that another text writes as one
+            forms |= token_forms(p["street"].replace(" ", ""))
+        keys = {f"{p['num']}|{f}|{b}" for f in forms for b in blocks}
     if p["brand"] and p["site"]:
-        keys.append(f"@{p['brand']}|{p['site']}")
-    return keys
+        keys.add(f"@{p['brand']}|{p['site']}")
+    return [int.from_bytes(hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for k in sorted(keys)]
 
 
 def parse_all(texts: DataFrame) -> DataFrame:
-    """text, its components, the key that equal components share, and whether a street and locality anchor it."""
+    """text, the number that equal components share, whether a street and locality anchor it, whether
+    it names a place at all, VETOES that it lacks, keys, and its components."""
 
     def run(batches):
         for pdf in batches:
             rows = [parse_address(t) for t in pdf["text"]]
             out = pd.DataFrame(rows, columns=_FIELDS)
             out.insert(0, "text", pdf["text"].to_numpy())
+            out["lacks"] = [sum(bit for k, bit in VETOES.items() if not r[k]) for r in rows]
+            out["keys"] = [block_keys(r) for r in rows]
             yield out
 
-    parsed = texts.mapInPandas(run, f"text string, {PARTS}")
+    parsed = texts.mapInPandas(run, f"text string, {PARTS}, lacks int, keys array<bigint>")
     sig = F.xxhash64(*(F.col(f) for f in _FIELDS))
-    anchored = (F.col("num") != "") & (F.col("street") != "") & ((F.col("city") != "") | (F.col("zip") != ""))
-    return parsed.select("text", sig.alias("sig"), anchored.alias("anchored"), *_FIELDS)
+    local = (F.col("city") != "") | (F.col("zip") != "")
+    anchored = (F.col("num") != "") & (F.col("street") != "") & local
+    placed = anchored | ((F.col("brand") != "") & (F.col("site") != "") & local)
+    return parsed.select("text", sig.alias("sig"), anchored.alias("anchored"), placed.alias("placed"), "lacks", "keys", *_FIELDS)
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -301,38 +395,86 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) -> Dat
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _comps_of(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``edges`` (a, b, ...) with the components ca and cb of their ends, where both have one."""
+    ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b")]
+    return edges.join(ends[0], "a").join(ends[1], "b")
+
+
+def _joined(nodes: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, comp of those ``nodes`` whose links into ``comps`` all lead to one component."""
+    either = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    reached = either.join(nodes.select("node"), "node").join(comps.select(F.col("node").alias("to"), "comp"), "to")
+    return reached.groupBy("node").agg(F.min("comp").alias("comp"), F.max("comp").alias("last")).where(F.col("comp") == F.col("last")).select("node", "comp")
+
+
+def settle(nodes: DataFrame, links: DataFrame, vetoes: DataFrame) -> DataFrame:
+    """node, comp: components in which no veto remains.
+
+    ``nodes`` has node and lacks, ``links`` a, b and score, ``vetoes`` a, b and veto, the components
+    that speak against the pair. Where a component holds a vetoed pair, the nodes that lack what it
+    is about leave it, and come back where all that they are linked to is one component. Where full
+    nodes are still chained across a veto, only links of full agreement stay.
+    """
+    comps = components(nodes, links)
+
+    def broken(comps):
+        return cut(_comps_of(vetoes, comps).where("ca = cb").groupBy(F.col("ca").alias("comp")).agg(F.bit_or("veto").alias("veto")))
+
+    bad = broken(comps)
+    if bad.isEmpty():
+        return comps
+    state = comps.join(bad, "comp", "left").join(nodes.select("node", "lacks"), "node")
+    leaves = F.coalesce(F.col("veto").bitwiseAND(F.col("lacks")) != 0, F.lit(False))
+    away = cut(state.where(leaves).select("node"))
+    stay = cut(state.where(~leaves).select("node"))
+    kept = links.join(stay.withColumnRenamed("node", "a"), "a", "left_semi").join(stay.withColumnRenamed("node", "b"), "b", "left_semi")
+    comps = components(stay, kept)
+    still = broken(comps)
+    if not still.isEmpty():
+        sure = _comps_of(kept, comps).join(still.select(F.col("comp").alias("ca"), F.lit(True).alias("split")), "ca", "left").where(F.col("split").isNull() | (F.col("score") >= 1)).select("a", "b")
+        comps = components(stay, sure)
+    for _ in range(2):  # the second time along those that came back
+        back = _joined(away.join(comps, "node", "left_anti"), links, comps)
+        comps = cut(comps.unionByName(back))
+    return comps
+
+
 def places(texts: DataFrame) -> DataFrame:
     """text, place: the place of each distinct text that can be placed."""
     parsed = cut(parse_all(texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("text").distinct()))
-    sigs = parsed.dropDuplicates(["sig"]).select("sig", "anchored", *_FIELDS)
-
-    def keyed(batches):
-        for pdf in batches:
-            pdf = pdf.assign(key=[block_keys(r) for r in pdf[_FIELDS].to_dict("records")]).explode("key").dropna(subset=["key"])
-            if len(pdf):
-                yield pdf[["key", "sig", "anchored", *_FIELDS]]
-
-    keys = sigs.mapInPandas(keyed, f"key string, sig long, anchored boolean, {PARTS}")
-    a = keys.select("key", *(F.col(c).alias(f"a_{c}") for c in ("sig", "anchored", *_FIELDS)))
-    b = keys.select("key", *(F.col(c).alias(f"b_{c}") for c in ("sig", "anchored", *_FIELDS)))
-    pairs = a.join(b, "key").where((F.col("a_sig") < F.col("b_sig"))).drop("key").dropDuplicates(["a_sig", "b_sig"])
+    sigs = cut(parsed.drop("text").dropDuplicates(["sig"]))
+    keys = sigs.select("sig", F.explode("keys").alias("key"))
+    other = keys.withColumnRenamed("sig", "b")
+    pairs = keys.withColumnRenamed("sig", "a").join(other, "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    facts = sigs.select("sig", "anchored", *_FIELDS)
+    side = lambda x: facts.select(F.col("sig").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("anchored", *_FIELDS)))
 
     def judge(batches):
         for pdf in batches:
             x = pdf[[f"a_{f}" for f in _FIELDS]].rename(columns=lambda c: c[2:]).to_dict("records")
             y = pdf[[f"b_{f}" for f in _FIELDS]].rename(columns=lambda c: c[2:]).to_dict("records")
-            score = [assignment(p, q) for p, q in zip(x, y)]
-            out = pd.DataFrame({"a": pdf["a_sig"], "b": pdf["b_sig"], "hard": pdf["a_anchored"] & pdf["b_anchored"], "score": score})
-            if len(out := out[out["score"] >= LEAST]):
+            said = [assignment(p, q) for p, q in zip(x, y)]
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "strong": pdf["a_anchored"].astype(int) + pdf["b_anchored"].astype(int), "score": [s for s, _ in said], "veto": [v for _, v in said]})
+            if len(out := out[(out["score"] >= LEAST) | (out["veto"] & (SLIP - 1) > 0)]):
                 yield out
 
-    links = cut(pairs.mapInPandas(judge, "a long, b long, hard boolean, score double"))
-    strong = components(sigs.where("anchored").select(F.col("sig").alias("node")), links.where("hard"))
-    # a text without street or locality joins a place only if all that it fits is one place
-    weak = sigs.where(~F.col("anchored")).select(F.col("sig").alias("w"))
-    either = links.select(F.col("a").alias("w"), F.col("b").alias("node")).union(links.select(F.col("b").alias("w"), F.col("a").alias("node")))
-    one = either.join(weak, "w").join(strong, "node").groupBy("w").agg(F.min("comp").alias("comp"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"))
-    placed = strong.union(one.where(F.col("comp") == F.col("last")).select(F.col("w").alias("node"), "comp"))
+    judged = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(judge, "a long, b long, strong int, score double, veto int"))
+    links, vetoes = judged.where("score > 0"), judged.where(F.col("veto").bitwiseAND(F.lit(SLIP - 1)) > 0)
+    node = sigs.select(F.col("sig").alias("node"), "anchored", "placed", "lacks")
+    strong = settle(node.where("anchored"), links.where("strong = 2"), vetoes.where("strong = 2"))
+    # texts without street or locality: what belongs together goes to the one place that it fits, and is one of its own if it fits none
+    weak = node.where(~F.col("anchored"))
+    loose = settle(weak, links.where("strong = 0"), vetoes.where("strong = 0"))
+    out = links.where("strong = 1")
+    reach = out.select(F.col("a").alias("node"), F.col("b").alias("to")).union(out.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    reach = reach.join(loose.withColumnRenamed("comp", "group"), "node").join(strong.select(F.col("node").alias("to"), "comp"), "to")
+    ends = cut(reach.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+    grouped = loose.join(ends, loose["comp"] == ends["group"], "left").select("node", "comp", "low", "high")
+    own = grouped.where("low is null").join(weak.where("placed").select("node"), "node", "left_semi").select("node", "comp")
+    one = grouped.where("low = high").select("node", F.col("low").alias("comp"))
+    each = _joined(grouped.where("low < high").select("node"), out, strong)
+    placed = strong.unionByName(own).unionByName(one).unionByName(each)
     return parsed.select("text", "sig").join(placed, F.col("sig") == F.col("node")).select("text", F.col("comp").alias("place"))
 
 
@@ -340,9 +482,9 @@ def same_places(texts: DataFrame) -> DataFrame:
     """Pairs of different texts of one place: ship_to_a < ship_to_b in byte order.
 
     ``texts`` has one column ``text``. Null and blank texts give no row, repeated ones count once.
-    A text without house number, street and company's site, or that fits several places, is in no
-    pair. Texts that differ in spaces or case only are different texts of one place. Texts of any
-    length are read whole.
+    A text that names neither a street or box in a locality nor a company's site in one, or that
+    fits several places, is in no pair. Texts that differ in spaces or case only are different
+    texts of one place. Texts of any length are read whole.
     """
     p = places(texts)
     a, b = p.select(F.col("text").alias("ship_to_a"), "place"), p.select(F.col("text").alias("ship_to_b"), "place")
