@@ -231,9 +231,14 @@ def _code_chunks(c: Column) -> list[Column]:
     return [F.substring(c, 1, 2), F.substring(c, 3, 2), F.substring(c, 5, 1)]
 
 
+def _kind(name: str, i: int) -> str:
+    """Name of a chunk: its place counts but for prices; code_1 is the chunk of a code with that place alone."""
+    return name if name == "price" else name.replace("_", "") if "_" in name else f"{name}{i}"
+
+
 def _keys(case: Column, **kinds: tuple[Column, list[Column]]) -> Column:
-    """One hash per case, kind and chunk, of the kinds that hold."""
-    parts = [F.when(ok, F.array(*(F.xxhash64(case, F.lit(f"{kind}{i if kind != 'price' else ''}"), c.cast("string")) for i, c in enumerate(chunks)))).otherwise(F.array().cast("array<bigint>")) for kind, (ok, chunks) in kinds.items()]
+    """One hash per case, kind and chunk, of the kinds that hold; hashes that meet by chance are told apart by the comparison in full."""
+    parts = [F.when(ok, F.array(*(F.hash(case, F.lit(_kind(kind, i)), c.cast("string")) for i, c in enumerate(chunks)))).otherwise(F.array().cast("array<int>")) for kind, (ok, chunks) in kinds.items()]
     return F.explode(F.array_distinct(F.flatten(F.array(*parts))))
 
 
@@ -242,26 +247,33 @@ def _cell(price: Column) -> Column:
 
 
 def near_pairs(claims: DataFrame, items: DataFrame) -> DataFrame:
-    """(claim_line_id, case_id, item): the items of a claim's case that may be what it claims.
+    """The columns of ``claims`` and ``items`` of those items of a claim's case that may be what it claims.
 
     Multi-index hashing inside the case: both sides are hashed by the chunks of their description
-    vector, of which close vectors share one, of their code, and by code endings, sku and, where a
-    claim has little else, cells of the price; pairs with a key in common are compared in full.
-    Exact within the radii. A case of any size is as many keys as its vectors have chunks.
+    vector, of which close vectors share one, of their code, and, where a claim has little else, by
+    cells of the price; code endings and skus are chunks of a code too. Pairs with a key in common
+    are compared in full. Exact within the radii. A case of any size is as many keys as its vectors
+    have chunks; only numbers of rows are shuffled by key.
     """
-    left = claims.select("claim_line_id", "case_id", "c_v", "c_pack", "five", "four", "sku_item", F.when(_weak(), F.col("claim_price")).alias("weak_price")).select("*", _keys(
-        F.col("case_id"), word=(F.col("c_v") != 0, _word_chunks(F.col("c_v"))), code=(F.length("five") == 5, _code_chunks(F.col("five"))), four=(F.col("four").isNotNull(), [F.col("four")]),
-        sku=(F.col("sku_item").isNotNull(), [F.col("sku_item")]), price=(F.col("weak_price").isNotNull(), [_cell(F.col("weak_price")) + d for d in (-1, 0, 1)])).alias("key"))
-    right = items.select(F.col("case_id").alias("i_case"), "item", "v", "pack", "price", "net").select("*", _keys(
-        F.col("i_case"), word=(F.coalesce("v", F.lit(0)) != 0, _word_chunks(F.col("v"))), code=(F.length("item") == 5, _code_chunks(F.col("item"))), four=(F.length("item") == 5, [F.substring("item", 2, 4)]),
-        sku=(F.lit(True), [F.col("item")]), price=(F.col("price") > 0, [_cell(F.col("price")), _cell(F.coalesce("net", "price"))])).alias("key"))
+    claims = claims.withColumn("weak_price", F.when(_weak(), F.col("claim_price")))
+    claims = claims.withColumn("_c", F.xxhash64(*(F.col(f"`{c}`") for c in claims.columns)))
+    items = items.withColumn("_i", F.xxhash64("case_id", "item")).withColumnRenamed("case_id", "_case")
+    coded = F.length("item") == 5
+    left = claims.select("_c", _keys(
+        F.col("case_id"), word=(F.col("c_v") != 0, _word_chunks(F.col("c_v"))), code=(F.length("five") == 5, _code_chunks(F.col("five"))),
+        code_1=(F.col("four").isNotNull(), [F.substring("four", 2, 2)]), code_0=(F.length("sku_item") == 5, [F.substring("sku_item", 1, 2)]), sku=(F.length("sku_item") != 5, [F.col("sku_item")]),
+        price=(F.col("weak_price").isNotNull(), [_cell(F.col("weak_price")) + d for d in (-1, 0, 1)])).alias("key"))
+    right = items.select("_i", _keys(
+        F.col("_case"), word=(F.coalesce("v", F.lit(0)) != 0, _word_chunks(F.col("v"))), code=(coded, _code_chunks(F.col("item"))), sku=(~coded, [F.col("item")]),
+        price=(F.col("price") > 0, [_cell(F.col("price")), _cell(F.coalesce("net", "price"))])).alias("key"))
     some_pack = (F.col("c_pack") == "") | (F.coalesce("pack", F.lit("")) == "") | (F.col("c_pack") == F.col("pack"))
     near = (F.col("c_v") != 0) & (F.col("v") != 0) & (F.bit_count(F.col("c_v").bitwiseXOR(F.col("v"))) <= WORD_RADIUS) & some_pack
     places = sum((F.substring("five", i, 1) == F.substring("item", i, 1)).cast("int") for i in range(1, 6))
-    coded = (F.length("item") == 5) & ((places >= 5 - CODE_PLACES) | (F.substring("item", 2, 4) == F.col("four")))
+    by_code = coded & ((places >= 5 - CODE_PLACES) | (F.substring("item", 2, 4) == F.col("four")))
     priced = (F.abs(_cell(F.col("weak_price")) - _cell(F.col("price"))) <= 1) | (F.abs(_cell(F.col("weak_price")) - _cell(F.coalesce("net", "price"))) <= 1)
-    meets = F.coalesce(near, F.lit(False)) | F.coalesce(coded, F.lit(False)) | F.coalesce(F.col("sku_item") == F.col("item"), F.lit(False)) | F.coalesce(priced & (F.col("price") > 0), F.lit(False))
-    return left.join(right, "key").where((F.col("case_id") == F.col("i_case")) & meets).select("claim_line_id", "case_id", "item").distinct()
+    meets = F.coalesce(near, F.lit(False)) | F.coalesce(by_code, F.lit(False)) | F.coalesce(F.col("sku_item") == F.col("item"), F.lit(False)) | F.coalesce(priced & (F.col("price") > 0), F.lit(False))
+    met = left.join(right, "key").select("_c", "_i").distinct()
+    return met.join(claims.distinct(), "_c").join(items, "_i").where((F.col("case_id") == F.col("_case")) & meets).drop("_c", "_i", "_case", "weak_price")
 
 
 def _weak() -> Column:
@@ -469,9 +481,8 @@ def match_items(
     claims = cut(claims.join(by_sku, "sku", "left").join(known, "five", "left").withColumn("five_known", F.coalesce("five_known", F.lit(False))))
     in_case = lines.groupBy("case_id", "item").agg(F.max("price").alias("price"), F.max("net").alias("net"))
 
-    pairs = near_pairs(claims, in_case.join(catalogue.select("item", "v", "pack"), "item", "left")).join(in_case, ["case_id", "item"])
-    facts = claims.select("claim_line_id", "five", "five_known", "four", "sku_item", "c_pack", "c_v", "claim_price")
-    levels = cut(_levels(pairs.join(facts, "claim_line_id").join(catalogue, "item", "left")))
+    facts = claims.select("claim_line_id", "case_id", "five", "five_known", "four", "sku_item", "c_pack", "c_v", "claim_price")
+    levels = cut(_levels(near_pairs(facts, in_case.join(catalogue.select("item", "v", "pack"), "item", "left"))))
 
     counts = [(r[0], r[1], r[2], float(r[3])) for r in levels.groupBy("words_level", "code_level", "price_level").agg(F.count(F.lit(1))).collect()]  # at most 160 rows
     prior, weights = learned_weights(counts)
