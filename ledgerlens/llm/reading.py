@@ -1,10 +1,11 @@
 """Reading level of each document: harmonic propagation over a document-word graph.
 
 Documents are joined to the words they hold; graded documents are clamped to their mean grade. A
-word takes the weighted mean of its documents, a document the mean of its words, weighted by how
-far they stand from the overall mean, and this is iterated. The level of a text is then judged by
-its main prose: the weighted median over its sentences, so that tables, headers, clauses and
-inserted passages do not move it.
+word takes the weighted mean of its documents. A document takes the mean of its main prose: its
+sentences, each the mean of its words weighted by how far they stand from the overall mean, are put
+in order and the middle of the text counts, so that tables, headers, clauses and inserted
+passages do not move it. This is iterated until the words' values settle; the level of a document
+is read from the value of its node.
 
 Words are hashed to a fixed number of nodes; the values of the word nodes, which every worker
 reads, therefore have a proven size whatever the corpus.
@@ -25,37 +26,112 @@ from ledgerlens.session import cut
 
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n|\n(?=- )")
 _HYPHEN = re.compile(r"-\n(?=[a-z])")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_WORD = re.compile(r"\x01|[^\W\d_]+(?:'[^\W\d_]+)?")
+_QUOTE = re.compile(r"(?<![a-z])'|'(?![a-z])")
+#: Letters, apostrophes and the mark between sentences; everything else is a space.
+_ASCII = bytes(i if chr(i).isalpha() and i < 128 or i in (1, 39) else 32 for i in range(256))
 
 
 @dataclass(frozen=True)
 class ReadingSettings:
-    """word_nodes: nodes that words are hashed to. iterations: rounds of propagation. ungraded:
-    weight of an ungraded document's value in a word against 1 of a graded one. prior: weight of
-    the overall mean in a word. least_words: words of a sentence that counts as prose."""
+    """word_nodes: nodes that words are hashed to. settled: greatest change of a word's value, in
+    levels, at which the iteration ends, and most_rounds: after which it is an error. ungraded: weight of an ungraded
+    document's value in a word against 1 of a graded one. prior: weight of the overall mean in a
+    word. least_words: words of a sentence that counts as prose. middle: share of a document's
+    prose that counts, around its median (0.2 to 0.5 agree with held-out raters alike). target_words: words of a document that gets a level."""
 
     word_nodes: int = 1 << 18
-    iterations: int = 3
+    settled: float = 0.01
+    most_rounds: int = 100
     ungraded: float = 0.1
     prior: float = 0.5
     least_words: int = 4
+    middle: float = 0.3
     levels: int = 5
     target_words: int = 60
 
 
-def sentence_words(text: str, least: int) -> list[list[str]]:
-    t = _HYPHEN.sub("", text.lower())
-    return [w for s in _SENTENCE.split(t) if len(w := _WORD.findall(s)) >= least]
+def marked_words(text: str) -> list[str]:
+    """Words in lower case; \x01 stands between sentences."""
+    t = text.lower().replace("\x01", " ")
+    if "-\n" in t:
+        t = _HYPHEN.sub("", t)
+    t = _SENTENCE.sub(" \x01 ", t)
+    if not t.isascii():
+        return _WORD.findall(t)
+    if "'" in t:
+        t = _QUOTE.sub(" ", t)
+    return t.encode("ascii").translate(_ASCII).decode("ascii").split()
 
 
-def _pack(sizes: list[int], flat: list[int]) -> bytes:
-    return zlib.compress(np.array([len(sizes), *sizes, *flat], dtype=np.int32).tobytes(), 1)
+def sentence_edges(texts: list[list[int]], least: int) -> list[bytes]:
+    """Per text its sentences as int32: their number, sizes, and distinct word nodes.
 
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(blob), np.int32)
-    n = int(raw[0])
-    return raw[1 : 1 + n], raw[1 + n :]
+    ``texts`` holds word nodes with -1 between sentences; sentences of fewer than ``least`` words are
+    left out. A node that an earlier sentence of the text has is stored as its complement.
+    """
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.fromiter((x for t in texts for x in t), dtype=np.int64, count=int(length.sum()))
+    doc = np.repeat(np.arange(len(texts)), length)
+    starts = flat < 0
+    starts[(np.cumsum(length) - length)[length > 0]] = True
+    sentence = np.cumsum(starts) - 1
+    words = flat >= 0
+    doc, sentence, flat = doc[words], sentence[words], flat[words]
+    long = np.bincount(sentence, minlength=1)[sentence] >= least if len(sentence) else np.zeros(0, bool)
+    doc, sentence, flat = doc[long], sentence[long], flat[long]
+    _, at = np.unique((sentence << 32) | flat, return_index=True)  # one edge per sentence and word
+    doc, sentence, flat = doc[at], sentence[at], flat[at]
+    _, at = np.unique((doc.astype(np.int64) << 32) | flat, return_index=True)
+    first = np.zeros(len(flat), dtype=bool)
+    first[at] = True
+    stored = np.where(first, flat, ~flat).astype(np.int32)
+    edge = np.flatnonzero(np.diff(sentence, prepend=-1))
+    size = np.diff(np.append(edge, len(sentence))).astype(np.int32)
+    sentences = np.bincount(doc[edge], minlength=len(texts)) if len(edge) else np.zeros(len(texts), np.int64)
+    words = np.bincount(doc, minlength=len(texts))
+    s_end, w_end = np.cumsum(sentences), np.cumsum(words)
+    return [np.concatenate([[n], size[b - n : b], stored[e - m : e]]).astype(np.int32).tobytes() for n, b, m, e in zip(sentences, s_end, words, w_end)]
+
+
+@dataclass
+class Batch:
+    """The sentences of a batch of documents end to end: the document and size of each sentence, the node of each edge, and whether it is its document's first with that node."""
+
+    n: int
+    doc: np.ndarray
+    size: np.ndarray
+    node: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, blobs) -> Batch:
+        length = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+        raw = np.frombuffer(b"".join(blobs), np.int32)
+        at = np.cumsum(length) - length
+        n = raw[at] if len(at) else np.zeros(0, np.int32)
+        place = np.arange(len(raw)) - np.repeat(at, length)
+        held = np.repeat(n, length)
+        stored = raw[place > held]
+        return cls(len(length), np.repeat(np.arange(len(length)), n), raw[(place > 0) & (place <= held)].astype(np.int64), np.where(stored < 0, ~stored, stored), stored >= 0)
+
+    def values(self, value: np.ndarray, weight: np.ndarray, middle: float) -> np.ndarray:
+        """The value of each document: the mean over the middle of its sentences in order of theirs; nan without prose."""
+        out = np.full(self.n, np.nan)
+        if not len(self.size):
+            return out
+        edge = np.cumsum(self.size) - self.size
+        w = weight[self.node]
+        x = np.add.reduceat(w * value[self.node], edge) / np.add.reduceat(w, edge)
+        order = np.lexsort((x, self.doc))
+        doc, x, size = self.doc[order], x[order], self.size[order].astype(float)
+        total = np.bincount(doc, weights=size, minlength=self.n)
+        upto = np.cumsum(size) - np.repeat(np.cumsum(total) - total, np.bincount(doc, minlength=self.n))
+        low, high = (1 - middle) / 2 * total[doc], (1 + middle) / 2 * total[doc]
+        counts = np.clip(np.minimum(upto, high) - np.maximum(upto - size, low), 0, None)
+        on = np.flatnonzero(total)
+        out[on] = (np.bincount(doc, weights=counts * x, minlength=self.n)[on]) / np.bincount(doc, weights=counts, minlength=self.n)[on]
+        return out
 
 
 def document_word_graph(documents: DataFrame, grades: DataFrame, s: ReadingSettings = ReadingSettings()) -> DataFrame:
@@ -65,116 +141,88 @@ def document_word_graph(documents: DataFrame, grades: DataFrame, s: ReadingSetti
     """
     nodes = s.word_nodes
 
+    class Nodes(dict):
+        def __missing__(self, w: str) -> int:
+            if len(self) > 500_000:
+                self.clear()
+            self[w] = n = -1 if w == "\x01" else zlib.crc32(w.encode("utf-8", "surrogatepass")) % nodes
+            return n
+
     def build(batches):
-        known: dict[str, int] = {}
-        get = known.get
+        node = Nodes()
         for pdf in batches:
-            blobs, n_words = [], []
-            for t in pdf["text"]:
-                sizes, flat = [], []
-                for ws in sentence_words(t, s.least_words):
-                    ws = set(ws)
-                    ids = [get(w) for w in ws]
-                    if None in ids:
-                        if len(known) > 500_000:
-                            known.clear()
-                        for w in ws:
-                            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % nodes
-                        ids = [get(w) for w in ws]
-                    sizes.append(len(ids))
-                    flat += ids
-                blobs.append(_pack(sizes, flat))
-                n_words.append(len(t.split()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "edges": blobs})
+            texts = [list(map(node.__getitem__, marked_words(t))) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [len(t.split()) for t in pdf["text"]], "edges": sentence_edges(texts, s.least_words)})
 
     texts = documents.where((F.col("lang") == "en") & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     mean = grades.where(F.col("reading_level").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("reading_level").alias("grade"))
     return cut(texts.mapInPandas(build, "doc_id long, n_words int, edges binary").join(mean, "doc_id", "left"))
 
 
-def _scores(flat: np.ndarray, value: np.ndarray, weight: np.ndarray) -> float:
-    u = np.unique(flat)
-    return float(np.dot(weight[u], value[u]) / weight[u].sum())
-
-
-def propagate(graph: DataFrame, s: ReadingSettings = ReadingSettings()) -> tuple[np.ndarray, np.ndarray]:
-    """(value, weight) of the word nodes after the rounds of propagation.
+def propagate(graph: DataFrame, s: ReadingSettings = ReadingSettings()) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(value and weight of the word nodes, greatest change of a value in each round).
 
     Each round is one pass: documents take their value from the words as they stand, and hand
     sums per word node, added up within the partition before they are shuffled. A document's
     value is put on the scale of the grades by the regression of the grades on the graded
-    documents' values, whose sums come back with the same pass.
+    documents' values. In the first round only the graded documents speak.
     """
     nodes = s.word_nodes
     mean = graph.agg(F.avg("grade")).first()[0]
     mean = (1 + s.levels) / 2 if mean is None else mean
     value, weight, line = np.full(nodes, mean), np.ones(nodes), None
-    for k in range(s.iterations):
+    changes: list[float] = []
+    graded = graph.where(F.col("grade").isNotNull())
+    for _ in range(s.most_rounds):
 
-        def one_pass(batches, value=value, weight=weight, line=line, mean=mean):
+        def one_pass(batches, value=value, weight=weight, line=line):
             num, den = np.zeros(nodes), np.zeros(nodes)
             for pdf in batches:
-                for blob, grade in zip(pdf["edges"], pdf["grade"]):
-                    _, flat = _unpack(blob)
-                    if not len(flat) or (line is None and np.isnan(grade)):
-                        continue
-                    u = np.unique(flat)
-                    if line is not None and np.isnan(grade):
-                        raw = np.dot(weight[u], value[u]) / weight[u].sum()
-                        x, c = min(max(line[0] * raw + line[1], 1.0), float(s.levels)), s.ungraded
-                    else:
-                        x, c = grade, 1.0
-                    num[u] += c * x
-                    den[u] += c
+                b = Batch.of(pdf["edges"])
+                x, c = pdf["grade"].to_numpy(dtype=float), np.ones(len(pdf))
+                if line is not None:
+                    free = np.isnan(x)
+                    x = np.where(free, np.clip(line[0] * b.values(value, weight, s.middle) + line[1], 1.0, s.levels), x)
+                    c[free] = s.ungraded
+                c[np.isnan(x)] = 0.0
+                doc = np.repeat(b.doc, b.size)[b.first]
+                node = b.node[b.first]
+                num += np.bincount(node, weights=(c * np.nan_to_num(x))[doc], minlength=nodes)
+                den += np.bincount(node, weights=c[doc], minlength=nodes)
             on = np.flatnonzero(den)
             yield pd.DataFrame({"node": on, "num": num[on], "den": den[on]})
 
-        sums = graph.select("edges", "grade").mapInPandas(one_pass, "node int, num double, den double")
+        sums = (graded if line is None else graph).select("edges", "grade").mapInPandas(one_pass, "node int, num double, den double")
+        got = sums.groupBy("node").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).toPandas()  # at most word_nodes rows
         num, den = np.zeros(nodes), np.zeros(nodes)
-        for r in sums.groupBy("node").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).collect():  # at most word_nodes rows
-            num[r["node"]], den[r["node"]] = r["num"], r["den"]
-        value = (num + s.prior * mean) / (den + s.prior)
-        weight = (value - mean) ** 2 + 0.02
-        if k + 1 < s.iterations:
-            line = _regression(graph, value, weight)
-    return value, weight
+        num[got["node"]], den[got["node"]] = got["num"], got["den"]
+        new = (num + s.prior * mean) / (den + s.prior)
+        changes.append(float(np.abs(new - value).max()))
+        value, weight = new, (new - mean) ** 2 + 0.02
+        if changes[-1] <= s.settled:
+            return value, weight, changes
+        line = _regression(graded, value, weight, s)
+    raise RuntimeError(f"word values did not settle in {s.most_rounds} rounds")
 
 
-def _regression(graph: DataFrame, value: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the grades on the raw values of the graded documents."""
+def _regression(graded: DataFrame, value: np.ndarray, weight: np.ndarray, s: ReadingSettings) -> tuple[float, float]:
+    """Slope and intercept of the grades on the values of the graded documents."""
 
     def raw(batches):
         for pdf in batches:
-            xs, ys = [], []
-            for blob, grade in zip(pdf["edges"], pdf["grade"]):
-                _, flat = _unpack(blob)
-                if len(flat):
-                    xs.append(_scores(flat, value, weight))
-                    ys.append(grade)
-            if xs:
-                yield pd.DataFrame({"x": xs, "y": ys})
-
-    pairs = graph.where(F.col("grade").isNotNull()).select("edges", "grade").mapInPandas(raw, "x double, y double")
+            yield pd.DataFrame({"x": Batch.of(pdf["edges"]).values(value, weight, s.middle), "y": pdf["grade"]})
+
+    pairs = graded.select("edges", "grade").mapInPandas(raw, "x double, y double").where(~F.isnan("x"))
     slope, at = pairs.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x")).first()
     return (1.0, 0.0) if slope is None or np.isnan(slope) else (slope, at)
 
 
-def prose_scores(graph: DataFrame, value: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """doc_id, n_words, grade, score: the median over the sentences, weighted by their distinct words."""
+def document_values(graph: DataFrame, value: np.ndarray, weight: np.ndarray, s: ReadingSettings = ReadingSettings()) -> DataFrame:
+    """doc_id, n_words, grade, score: the value of each document's node, of graded ones as if they were not."""
 
     def score(batches):
         for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for i, blob in enumerate(pdf["edges"]):
-                sizes, flat = _unpack(blob)
-                if not len(flat):
-                    continue
-                at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-                x = np.add.reduceat(weight[flat] * value[flat], at) / np.add.reduceat(weight[flat], at)
-                o = np.argsort(x, kind="stable")
-                c = np.cumsum(sizes[o])
-                out[i] = x[o][np.searchsorted(c, c[-1] / 2)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "grade": pdf["grade"], "score": out})
+            yield pdf[["doc_id", "n_words", "grade"]].assign(score=Batch.of(pdf["edges"]).values(value, weight, s.middle))
 
     return graph.mapInPandas(score, "doc_id long, n_words int, grade double, score double")
 
@@ -215,7 +263,8 @@ def reading_levels(documents: DataFrame, grades: DataFrame, s: ReadingSettings =
     Texts are read whole whatever their length; other columns are ignored.
     """
     graph = document_word_graph(documents, grades, s)
-    scored = prose_scores(graph, *propagate(graph, s))
+    value, weight, _ = propagate(graph, s)
+    scored = cut(document_values(graph, value, weight, s))
     cuts = cut_points(scored, s)
     level = F.lit(1)
     for c in cuts:
