@@ -1,13 +1,15 @@
 """Quantities in different units: a hidden Markov model per device with the unit as hidden state.
 
 A device is what is measured again and again, here a trade item on one measure. Its hidden state
-is the unit of the recorded value; the observed log value is the log of a smooth level of the
-device minus the log of the unit's size. What a unit column or the line's own text says enters the
-emission: a column outweighs a text, a text outweighs the base unit, and each of them outweighs any
-jump of the level and any switch. Viterbi decoding therefore keeps every stated unit, and reads a
-label that is in no vocabulary from the jump of the value against the level.
-
-Devices are decoded in blocks of row ids, so that a device with a third of all rows is many groups.
+is the unit of the recorded value; the observed log value is the log of a level of the device that
+is smooth (the median over what its readings state) minus the log of the unit's size. What a unit
+column or the line's own text says enters the emission as evidence of a strength of its own: a
+column outweighs a text, a text outweighs the base unit that stands where nothing is said. The jump
+of a value against the level is evidence too, which has to be some eightfold to outweigh a column.
+Viterbi decoding so reads missing and unknown labels from the level, and overrules wrong ones.
+
+Devices are decoded in blocks of row ids, so that a device with a third of all rows is many groups;
+a block also reads the rows around it, so that chains go on over its borders.
 """
 
 from __future__ import annotations
@@ -39,12 +41,19 @@ WEIGHT_WORDS = {
     "TN": ("tn", "stn", "ton", "tons", "shortton", "shorttons"),
 }
 
-#: Log-probabilities lost by a state that the column, the text or the base unit speaks against, and
-#: the most that level and switch can cost: each of the former exceeds the latter's total of two steps.
-COLUMN_SAYS, TEXT_SAYS, BASE_SAYS = 200.0, 100.0, 50.0
-LEVEL_CAP, SWITCH, SPREAD = 12.0, 3.0, 0.25
+#: Log-probabilities lost by a state that the column, the text or the base unit speaks against, by a
+#: value away from the level at most, and by a switch; SPREAD is that of log values around the level at least.
+#: A column therefore yields to a jump of exp(SPREAD * sqrt(2 * (COLUMN_SAYS + 2 * SWITCH))), eightfold.
+COLUMN_SAYS, TEXT_SAYS, BASE_SAYS = 30.0, 20.0, 10.0
+LEVEL_CAP, SWITCH, SPREAD = 60.0, 3.0, 0.25
+#: Standard deviations between the quartiles of a normal distribution.
+QUARTILES = 1.349
+#: What a state of no size, such as a bundle without a number, loses.
+NEVER = 1000.0
 
-BLOCK_ROWS = 1 << 16
+#: Row ids of a block, and those around it that are read along. A row that prefers its state by more
+#: than two switches parts a chain exactly, so the border tells only in a run of doubtful rows longer than that.
+BLOCK_ROWS, AROUND = 1 << 16, 1 << 12
 
 
 def _squash(c: Column) -> Column:
@@ -221,7 +230,7 @@ def viterbi(emission: np.ndarray, start: np.ndarray, switch: float, before: np.n
 
 
 def decode_units(read: DataFrame, sizes) -> DataFrame:
-    """Readings with their decoded unit: adds ``unit`` and ``factor`` (base units in one unit).
+    """Readings with their decoded unit: src_table, line_id, measure, value, said, ``unit`` and ``factor`` (base units in one unit).
 
     Pieces per case come from the reading's own text, else from the device's other readings; with
     neither, ``factor`` of a piece unit is null. ``sizes`` is that of ``unit_sizes``.
@@ -231,12 +240,16 @@ def decode_units(read: DataFrame, sizes) -> DataFrame:
     count_states = [u for u, b, _ in sizes if b in ("case", "piece")] + ["CS*n"]
     weight_states = [u for u, b, _ in sizes if b == "pound"]
 
-    # the level: mean over the readings whose unit is stated or base by rule, pre-aggregated per device
+    # the level: median over the readings by what they state or by the base unit, pre-aggregated per device
     per = F.when(F.col("measure") == "weight", stated_factor(F.col("said"), "LB", F.col("ppc"), sizes)).otherwise(stated_factor(F.col("said"), "CS", F.col("ppc"), sizes))
     level = read.groupBy("device").agg(
-        F.avg(F.when(per > 0, F.col("observed") + F.log(per))).alias("level"), F.max("ppc").alias("device_ppc"),
+        F.percentile_approx(F.when(per > 0, F.col("observed") + F.log(per)), [0.25, 0.5, 0.75], 1000).alias("q"), F.max("ppc").alias("device_ppc"),
     )
-    with_level = read.join(level, "device", "left").select("*", F.floor(F.col("line_id") / BLOCK_ROWS).alias("block"))
+    # a device whose readings do not agree has a level that tells little
+    level = level.select("device", "device_ppc", F.col("q")[1].alias("level"), F.greatest(F.lit(SPREAD), (F.col("q")[2] - F.col("q")[0]) / QUARTILES).alias("spread"))
+    own = F.floor(F.col("line_id") / BLOCK_ROWS)
+    near = F.array_distinct(F.array(own, F.floor((F.col("line_id") - AROUND) / BLOCK_ROWS), F.floor((F.col("line_id") + AROUND) / BLOCK_ROWS)))
+    with_level = read.join(level, "device", "left").select("*", own.alias("own"), F.explode(near).alias("block"))
     chained = with_level.repartition("device", "block").sortWithinPartitions("device", "block", "line_id", "value")
 
     def decode(batches):
@@ -248,7 +261,7 @@ def decode_units(read: DataFrame, sizes) -> DataFrame:
             said = pdf["said"].to_numpy(dtype=object)
             by = pdf["said_by"].to_numpy(dtype=object)
             ppc = pdf["ppc"].fillna(pdf["device_ppc"]).to_numpy(dtype=float)
-            observed, lev = pdf["observed"].to_numpy(dtype=float), pdf["level"].to_numpy(dtype=float)
+            observed, lev, spread = (pdf[c].to_numpy(dtype=float) for c in ("observed", "level", "spread"))
             unit = np.empty(n, dtype=object)
             factor = np.full(n, np.nan)
             for kind, states in ((False, count_states), (True, weight_states)):
@@ -266,7 +279,7 @@ def decode_units(read: DataFrame, sizes) -> DataFrame:
                 if "CS*n" in index:
                     size[:, index["CS*n"]] = bundle
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    miss = np.abs(observed[at, None] + np.log(size) - lev[at, None]) / SPREAD
+                    miss = np.abs(observed[at, None] + np.log(size) - lev[at, None]) / spread[at, None]
                 emission = -np.minimum(np.nan_to_num(miss * miss / 2, nan=LEVEL_CAP), LEVEL_CAP)
                 base = index["LB" if kind else "CS"]
                 code = np.array([index.get("CS*n" if isinstance(x, str) and x.startswith("CS*") else x, -1) if isinstance(x, str) else base for x in sub])
@@ -275,7 +288,7 @@ def decode_units(read: DataFrame, sizes) -> DataFrame:
                 emission[stated] -= cost[stated, None]
                 emission[stated, code[stated]] += cost[stated]
                 if "CS*n" in index:  # no bundle without a stated size
-                    emission[np.isnan(bundle), index["CS*n"]] -= COLUMN_SAYS
+                    emission[np.isnan(bundle), index["CS*n"]] -= NEVER
                 k = key[at]
                 start = np.append(True, k[1:] != k[:-1])
                 goes_on = tail is not None and at[0] == 0 and k[0] == last and tail_states == kind
@@ -286,9 +299,10 @@ def decode_units(read: DataFrame, sizes) -> DataFrame:
                 if at[-1] == n - 1:
                     keep = (k[-1], tail_now, kind)
             last, tail, tail_states = keep if n else (last, tail, tail_states)
-            yield pd.DataFrame({"src_table": pdf["src_table"], "line_id": pdf["line_id"], "measure": pdf["measure"], "value": pdf["value"], "unit": unit, "factor": factor})
+            out = pd.DataFrame({"src_table": pdf["src_table"], "line_id": pdf["line_id"], "measure": pdf["measure"], "value": pdf["value"], "said": pdf["said"], "unit": unit, "factor": factor})
+            yield out[(pdf["own"] == pdf["block"]).to_numpy()]
 
-    return chained.mapInPandas(decode, "src_table string, line_id bigint, measure string, value double, unit string, factor double")
+    return chained.mapInPandas(decode, "src_table string, line_id bigint, measure string, value double, said string, unit string, factor double")
 
 
 #: Units that are one base unit.
@@ -308,6 +322,14 @@ def converted(decoded: DataFrame) -> DataFrame:
     return decoded.where(~F.col("unit").isin(*ONE)).select("src_table", "line_id", "measure", F.when(~F.isnan("factor"), milli).alias("amount_milli"))
 
 
+def decisions(decoded: DataFrame) -> DataFrame:
+    """measure, basis, readings, n_overruled: how many readings state a known unit, an unknown one or
+    none, and how many of each were decoded to another unit than the one stated or the base unit."""
+    base = F.when(F.col("measure") == "weight", "LB").otherwise("CS")
+    basis = F.when(F.col("said").isNull(), "none").when(F.col("said") == "?", "unknown").otherwise("stated")
+    return decoded.groupBy("measure", basis.alias("basis")).agg(F.count(F.lit(1)).alias("readings"), F.count_if(F.col("unit") != F.when(F.col("said").isNull() | (F.col("said") == "?"), base).otherwise(F.col("said"))).alias("n_overruled"))
+
+
 def convert_units(invoice_lines: DataFrame, shipped_lines: DataFrame, uom_codes: DataFrame) -> DataFrame:
     """src_table, line_id, measure, amount_milli of every recorded value that is not in base units; see ``converted``."""
     sizes = unit_sizes(uom_codes)

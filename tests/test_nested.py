@@ -41,6 +41,16 @@ def test_what_gives_nothing(spark):
 
 
 def test_repeated_keys_and_numbers_as_written():
-    name, fields, children = parse_payload('note {a}\n{"INVOIC02": {"IDOC": {"N": 1.50, "E1EDP01": {"POSEX": 1}, "E1EDP01": null}}}', "INVOIC02")
+    (_, _, children), = parse_payload('note {a}\n{"INVOIC02": {"IDOC": {"N": 1.50, "E1EDP01": {"POSEX": 1}, "E1EDP01": null}}}', "INVOIC02")
     (_, idoc, lines), = children
     assert idoc == {"N": "1.50"} and [x[1] for x in lines] == [{"POSEX": "1"}, {}]
+
+
+def test_several_envelopes_are_numbered_through(spark):
+    one = "<INVOIC02><IDOC><E1EDP01><POSEX>{}</POSEX></E1EDP01></IDOC></INVOIC02>"
+    two = [json.dumps({"batch": [{"INVOIC02": {"IDOC": {"E1EDP01": {"POSEX": "1"}}}}, {"INVOIC02": {"IDOC": {"E1EDP01": {"POSEX": "2"}}}}]}), f"<all>{one.format(1)}{one.format(2)}</all>", f'<?xml version="1.0"?>{one.format(1)}\n<?xml version="1.0"?>{one.format(2)} end',
+           json.dumps({"INVOIC02": {"IDOC": {"E1EDP01": {"POSEX": "1"}}}}) + "\n" + json.dumps({"INVOIC02": {"IDOC": {"E1EDP01": {"POSEX": "2"}}}})]
+    assert rows(spark, *two) == [(i, k, 1, "E1EDP01", 0, str(k), "") for i in range(4) for k in (1, 2)]
+    objects, bridge = shred(spark.createDataFrame([(1, two[1], None, "x", 1)], SCHEMA), "idoc_id", "payload", "INVOIC02")
+    assert [(r.occ, r.parent_occ, r.ordinals) for r in bridge.where("name = 'IDOC'").orderBy("occ").collect()] == [(1, 0, [1, 1]), (4, 3, [2, 2])]
+    assert rows(spark, one.format(1) + one.format(2)[:-9]) == []

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlens.operators.units import convert_units, viterbi
+from ledgerlens.operators.units import BLOCK_ROWS, convert_units, decisions, decode_units, readings, unit_sizes, viterbi
 
 UOM = [("EA", "count", "case", 1.0), ("CS", "count", "case", 1.0), ("CTN", "count", "case", 1.0), ("LY", "count", "case", 10.0), ("PL", "count", "case", 60.0), ("PC", "count", "piece", 1.0),
        ("DZ", "count", "piece", 12.0), ("TH", "count", "piece", 1000.0), ("LB", "weight", "pound", 1.0), ("KG", "weight", "pound", 2.2046226218487757), ("OZ", "weight", "pound", 0.0625)]
@@ -32,6 +32,31 @@ def test_unknown_label_is_decoded_from_the_level(spark):
     assert run(spark, il) == [("i", 9, "cases", 2000), ("i", 10, "cases", 720000)]
 
 
+def test_wrong_and_missing_labels_are_decoded_from_the_level(spark):
+    d = "PCN CRSP MPL ORG 4/6-1.5 OZ BAG"  # 24 pieces
+    il = [(i, "7", d, 5.0, "CS", 60.0, 0.0, "x") for i in range(1, 9)]
+    il += [(9, "7", d, 48.0, "CS", 2.5, 0.0, "x"), (10, "7", d, 48.0, None, 2.5, 0.0, "x"), (11, "7", d, 48.0, "PC", 2.4, 0.0, "x")]  # a price by the piece
+    il += [(12, "7", d, 5.0, "PC", 61.0, 0.0, "x"), (13, "7", d, 5.0, "EA", 30.0, 0.0, "x"), (14, "7", d, 5.0, None, 90.0, 0.0, "x")]  # a price by the case; half and one and a half of it are prices
+    assert run(spark, il) == [("i", i, "cases", 2000) for i in (9, 10, 11)]
+    uom = spark.createDataFrame(UOM, "uom string, dimension string, base_unit string, factor double")
+    sizes = unit_sizes(uom)
+    told = {(r.basis, r.readings, r.n_overruled) for r in decisions(decode_units(readings(spark.createDataFrame(il, IL), spark.createDataFrame([], SL), sizes), sizes)).collect()}
+    assert told == {("stated", 12, 2), ("none", 2, 1)}
+
+
+def test_a_run_of_unlabelled_rows_switches_once(spark):
+    d = "PCN CRSP MPL ORG 6/25 OZ BAG"
+    # four doubtful prices, between piece and case, belong to the run of pieces that they follow
+    il = [(i, "7", d, 6.0, "CS", 60.0, 0.0, "x") for i in range(1, 12)] + [(i, "7", d, 6.0, "PC", 10.0, 0.0, "x") for i in range(20, 24)] + [(i, "7", d, 6.0, "zak", 24.4, 0.0, "x") for i in range(24, 28)]
+    assert run(spark, il) == [("i", i, "cases", 1000) for i in range(20, 28)]
+
+
+def test_chains_go_on_over_the_border_of_a_block(spark):
+    d = "PCN CRSP MPL ORG 6/25 OZ BAG"
+    il = [(BLOCK_ROWS - 2, "7", d, 6.0, "PC", None, 0.0, "x"), (BLOCK_ROWS - 1, "7", d, 6.0, "PC", None, 0.0, "x"), (BLOCK_ROWS, "7", d, 6.0, "zak", None, 0.0, "x")]
+    assert run(spark, il) == [("i", BLOCK_ROWS + k, "cases", 1000) for k in (-2, -1, 0)]
+
+
 def test_shipped_units(spark):
     d = "ORGANIC MPL PCN CRSP BAG 6/25 OZ"
     sl = [
