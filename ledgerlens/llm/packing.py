@@ -4,7 +4,8 @@ An example has a size in tokens, segments and loss-bearing tokens; a container h
 each. A container is filled by always placing the example that fits and whose sizes have the
 greatest dot product with the room that is left, each as a share of its limit. Examples of equal
 sizes are interchangeable, so a bin is packed over its distinct sizes with their counts. Documents
-are dealt by a hash of their id to groups of a bounded number of rows, which are packed apart; the
+are dealt by a hash of their id, piece and copy to groups of a bounded number of rows, which are
+packed apart in the order of these, so that the containers depend on the documents alone; the
 containers that stay below ``full`` are taken apart and packed again in ever fewer groups.
 """
 
@@ -132,6 +133,7 @@ def _packer(s: PackingSettings, k: int, last: bool):
     """Packs one group in round ``k``; examples of containers that are not kept get -1."""
 
     def pack(pdf):
+        pdf = pdf.sort_values(["doc_id", "piece", "n_tokens", "loss_tokens", "copy"], kind="stable", ignore_index=True)
         container, fill = pack_group(pdf["n_tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), s)
         keep = (fill >= s.full * s.capacity) | last
         ids = (np.int64(k) << 56) + (pdf["g"].to_numpy().astype(np.int64) << 24) + container
@@ -141,7 +143,7 @@ def _packer(s: PackingSettings, k: int, last: bool):
 
 
 def pack_documents(sizes: DataFrame, s: PackingSettings = PackingSettings()) -> DataFrame:
-    """Container of every document: doc_id, piece, token_start, n_tokens, container_id.
+    """Container of every document: doc_id, piece, token_start, n_tokens, loss_tokens, container_id.
 
     A document is split only if it alone exceeds the capacity, or alone bears more loss than a
     container may; then into pieces as long as possible. Documents without tokens take a segment
@@ -159,24 +161,44 @@ def pack_documents(sizes: DataFrame, s: PackingSettings = PackingSettings()) ->
     pieces = sized.select("*", most.alias("most")).select("*", F.explode(F.sequence(F.lit(1), parts)).alias("piece")).select(
         "doc_id", "piece", start.cast("int").alias("token_start"), (upto - start).cast("int").alias("n_tokens"),
         F.least(F.lit(s.loss_tokens), loss_at(upto) - loss_at(start)).cast("int").alias("loss_tokens"))
-    # a number of each row, fixed with the checkpoint, deals equal rows apart
-    open_rows = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
+    # equal rows are numbered as copies, so that they are dealt apart and alike in every run
+    counted = pieces.groupBy("doc_id", "piece", "token_start", "n_tokens", "loss_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    open_rows = cut(counted.select("doc_id", "piece", "token_start", "n_tokens", "loss_tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))
     done = None
     for k in range(s.rounds + 1):
         n = open_rows.count()
         groups = max(1, -(-n // s.group_rows))
         last = k == s.rounds or groups == 1
-        dealt = open_rows.withColumn("g", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(groups)))
-        packed = cut(dealt.groupBy("g").applyInPandas(_packer(s, k, last), PIECES + ", row long, container_id long"))
+        dealt = open_rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "loss_tokens", "copy", F.lit(k)), F.lit(groups)))
+        packed = cut(dealt.groupBy("g").applyInPandas(_packer(s, k, last), PIECES + ", copy int, container_id long"))
         kept = packed.where("container_id >= 0")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
         open_rows = packed.where("container_id < 0").drop("container_id")
-    return done.select("doc_id", "piece", "token_start", "n_tokens", "container_id")
+    return done.select("doc_id", "piece", "token_start", "n_tokens", "loss_tokens", "container_id")
 
 
 def container_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """Containers by the number of their tokens, and the room that stays unused."""
     per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"))
     return per.groupBy("tokens").agg(F.count(F.lit(1)).alias("n_containers"), F.max("segments").alias("most_segments"), (F.lit(capacity) - F.col("tokens")).alias("unused"))
+
+
+def limits_report(packed: DataFrame, s: PackingSettings) -> DataFrame:
+    """One row: containers, how many are full by each limit (no room for a hundredth of it), and how many exceed one."""
+    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("loss_tokens").alias("loss"))
+    at = {"tokens": s.capacity, "segments": s.segments, "loss": s.loss_tokens}
+    over = F.lit(False)
+    for c, most in at.items():
+        over = over | (F.col(c) > most)
+    return per.agg(F.count(F.lit(1)).alias("n_containers"), *(F.count_if(F.col(c) > 0.99 * most).alias(f"full_by_{c}") for c, most in at.items()), F.count_if(over).alias("n_over"))
+
+
+def packing_check(documents: DataFrame, packed: DataFrame, s: PackingSettings = PackingSettings()) -> DataFrame:
+    """One row: documents that are packed, pieces whose tokens do not follow on from the piece before, documents split without need, containers over a limit."""
+    per_doc = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.sum("loss_tokens").alias("loss"), F.max(F.col("token_start") + F.col("n_tokens")).alias("upto"))
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id")).join(per_doc, "doc_id")
+    needless = (F.col("pieces") > 1) & (F.col("tokens") <= s.capacity) & (F.col("loss") <= s.loss_tokens)
+    seen = every.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("upto") != F.col("tokens")).alias("n_torn"), F.count_if(needless).alias("n_needless_splits"))
+    return seen.crossJoin(limits_report(packed, s).select("n_over"))  # one row each

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlens.llm.packing import PackingSettings, container_report, default_vocabulary, pack_classes, pack_documents, pack_group, token_sizes
+from ledgerlens.llm.packing import PackingSettings, container_report, default_vocabulary, limits_report, pack_classes, pack_documents, pack_group, packing_check, token_sizes
 
 SIZES = "doc_id long, n_tokens int, loss_tokens int, piece string, container_id string"
 
@@ -50,6 +50,30 @@ def test_empty_table_and_report(spark):
     assert sorted((r.tokens, r.n_containers, r.unused) for r in container_report(df).collect()) == [(10, 1, 2038), (2048, 1, 0)]
 
 
+def test_containers_depend_on_the_documents_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i // 2, int(n), int(n) // (1 + i % 3), "a", "b") for i, n in enumerate(rng.integers(0, 900, 2000))] + [(None, 50, 50, "a", "b")] * 40
+    df, s = spark.createDataFrame(rows, SIZES), PackingSettings(group_rows=500)
+    one, two = (sorted((tuple(r) for r in pack_documents(x, s).collect()), key=str) for x in (df.repartition(7), df.repartition(3, "n_tokens")))
+    assert one == two and len(one) == len(rows)
+
+
+def test_each_limit_binds(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(i, n, n if i % 3 else 0, "", "") for i, n in enumerate(int(x) for x in rng.integers(20, 900, 3000))]
+    for s, limit in ((PackingSettings(), "tokens"), (PackingSettings(segments=3), "segments"), (PackingSettings(loss_tokens=1000), "loss")):
+        r = limits_report(pack_documents(spark.createDataFrame(sizes, SIZES), s), s).first()
+        assert r.n_over == 0 and r[f"full_by_{limit}"] > 0.7 * r.n_containers, (limit, r)
+
+
+def test_packing_check_finds_faults(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    good = [(1, 1, 0, 10, 0, 5), (2, 1, 0, 20, 0, 5)]
+    bad = [(1, 1, 0, 10, 0, 5), (1, 2, 15, 10, 0, 5), (2, 1, 0, 2040, 0, 5)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, piece int, token_start int, n_tokens int, loss_tokens int, container_id long")
+    assert tuple(packing_check(docs, frame(good)).first()) == (2, 0, 0, 0) and tuple(packing_check(docs, frame(bad)).first()) == (2, 1, 1, 1)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1, max_size=12))
 def test_no_container_can_be_spared_trivially(items):
