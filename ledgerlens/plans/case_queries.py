@@ -168,12 +168,11 @@ def flagship_linked_claims(spark: SparkSession, sf: str) -> DataFrame:
 _C = lambda c: f"floor(abs({c}) * 100 + 0.5e0) / 100"
 
 
-@query(f"""SELECT invoice_id AS doc_id, invoice_number, regexp_extract(replace(invoice_date, '-', '/'), '^[0-9/]+') AS invoice_date, nullif({_D('po_number')}, '') AS po_number, nullif({_D('delivery_number')}, '') AS delivery_number,
-terms_of_payment, carrier, {_C('subtotal')} AS subtotal, {_C('total_amount')} AS total_amount FROM invoices WHERE invoice_date IS NULL OR regexp_matches(invoice_date, '^[0-9]')""")
+@query(f"""SELECT invoice_id AS doc_id, invoice_number, nullif(regexp_extract(replace(invoice_date, '-', '/'), '^[0-9/]+'), '') AS invoice_date, nullif({_D('po_number')}, '') AS po_number, nullif({_D('delivery_number')}, '') AS delivery_number,
+terms_of_payment, carrier, {_C('subtotal')} AS subtotal, {_C('total_amount')} AS total_amount FROM invoices""")
 def invoice_header_parse(spark: SparkSession, sf: str) -> DataFrame:
-    got = X.invoice_headers(T.invoice_texts(spark, sf))
-    dates = table(spark, sf, "invoices").where(F.col("invoice_date").isNull() | F.col("invoice_date").rlike("^[0-9]")).select(F.col("invoice_id").alias("doc_id"))
-    return got.join(dates, "doc_id", "left_semi")
+    """Headers of all invoices; a date that is printed in words is not read."""
+    return X.invoice_headers(T.invoice_texts(spark, sf))
 
 
 _MAT = f"ltrim({_D('coalesce(material_number, chr(32))')}, '0')"
@@ -188,8 +187,9 @@ def invoice_lines_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT bol_id AS doc_id, page_number, CAST(row_number() OVER (PARTITION BY bol_id, page_number ORDER BY pos, shipped_line_id) AS INT) AS pos, CASE WHEN length({_MAT}) < 5 THEN lpad({_MAT}, 5, '0') ELSE {_MAT} END AS material_number,
 trim('X ' || trim(regexp_replace(description, '\\s+', ' ', 'g'))) AS description, {_C('weight')} AS weight, cases, concat('S', shipped_line_id) AS customer_sku
-FROM shipped_lines WHERE weight >= 0.01e0 AND cases >= 1 AND {_MAT} <> ''""")
+FROM shipped_lines WHERE weight IS NOT NULL AND cases IS NOT NULL AND {_MAT} <> ''""")
 def bol_lines_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of all bills; a row that lacks material, weight or cases is none."""
     return X.bol_rows(T.bol_pages(spark, sf))
 
 
@@ -210,19 +210,21 @@ def remittance_rows_parse(spark: SparkSession, sf: str) -> DataFrame:
     return X.remittance_rows(T.remittance_texts(spark, sf))
 
 
-@query(f"""SELECT claim_line_id AS doc_id, lpad(CAST(claim_line_id AS VARCHAR), 12, '7') AS upc, 3 AS pos, concat('ITEM NAME ', claim_line_id) AS description, floor(adj_qty) AS adj_qty, {_C('unit_price')} AS unit_price,
--({_C('adj_amount')}) AS adj_amount, coalesce(reason_code, '6') AS reason_code, 'shortage' AS reason_text FROM claim_lines WHERE adj_amount IS NOT NULL AND unit_price IS NOT NULL""")
+@query(f"""SELECT claim_line_id AS doc_id, lpad(CAST(claim_line_id AS VARCHAR), 12, '7') AS upc, 3 AS pos, concat('ITEM NAME ', claim_line_id) AS description, CASE WHEN unit_price IS NOT NULL THEN floor(adj_qty) END AS adj_qty, CASE WHEN adj_qty IS NOT NULL THEN {_C('unit_price')} END AS unit_price,
+-({_C('adj_amount')}) AS adj_amount, CASE WHEN unit_price IS NOT NULL THEN coalesce(reason_code, '6') END AS reason_code, 'shortage' AS reason_text FROM claim_lines""")
 def claim_rows_window_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of all claims, also those printed without a quantity, price or amount."""
     return X.claim_rows(T.claim_texts(spark, sf))
 
 
 @query(f"""SELECT claim_line_id AS doc_id, lpad(CAST(claim_id AS VARCHAR), 10, '0') AS invoice_number, CAST(NULL AS VARCHAR) AS po_number, {_C('adj_amount')} AS deduction_amount, CAST(NULL AS DOUBLE) AS gross_invoice_amount,
-CAST(NULL AS DOUBLE) AS net_invoice_amount, CAST(NULL AS DOUBLE) AS discount_amount FROM claim_lines WHERE adj_amount IS NOT NULL AND unit_price IS NOT NULL""")
+CAST(NULL AS DOUBLE) AS net_invoice_amount, CAST(NULL AS DOUBLE) AS discount_amount FROM claim_lines""")
 def claim_header_parse(spark: SparkSession, sf: str) -> DataFrame:
     return X.claim_headers(T.claim_texts(spark, sf))
 
 
-@query(f"SELECT claim_line_id AS doc_id, -({_C('adj_amount')}) AS adj_amount, concat('PEYTONS ORAD LATE; claim ', claim_line_id) AS reason_text FROM claim_lines WHERE adj_amount IS NOT NULL AND adj_amount <> 0 AND {_C('adj_amount')} <> 0")
+# without an amount beside the narrative the pair of the header, 1.00, is the nearest
+@query(f"SELECT claim_line_id AS doc_id, CASE WHEN adj_amount IS NULL THEN -1e0 ELSE -({_C('adj_amount')}) END AS adj_amount, concat('DEPOT ORAD LATE; claim ', claim_line_id) AS reason_text FROM claim_lines WHERE adj_amount IS NULL OR {_C('adj_amount')} <> 0")
 def promo_row_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return X.promotion_rows(T.promotion_texts(spark, sf))
 

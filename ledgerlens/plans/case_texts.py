@@ -51,12 +51,13 @@ def invoice_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bol_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id (bol_id), page_number, text."""
-    sl = table(spark, sf, "shipped_lines").where(F.col("weight").isNotNull() & (F.col("weight") >= 0.01) & (F.col("cases") >= 1))
+    """doc_id (bol_id), page_number, text; what a line lacks is printed as a dash."""
+    sl = table(spark, sf, "shipped_lines")
+    shown = lambda c: F.coalesce(c, F.lit("-"))
     row = F.concat_ws(
-        " ", _material(F.col("material_number")), F.concat(F.lit("X "), one_line(F.col("description"))), F.lpad((F.col("shipped_line_id") + 10_000_000).cast("string"), 9, "1"), F.floor("cases").cast("string"), amount(F.col("weight")),
-        F.col("cases").cast("string"), F.concat(F.lit("S"), F.col("shipped_line_id").cast("string")))
-    rows = sl.where(F.regexp_replace(digits(F.col("material_number")), "^0+", "") != "").groupBy("bol_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shipped_line_id", row.alias("t")))), lambda s: s["t"]), "\n").alias("rows"))
+        " ", shown(F.nullif(F.when(F.regexp_replace(digits(F.col("material_number")), "^0+", "") != "", _material(F.col("material_number"))), F.lit(""))), F.concat(F.lit("X "), one_line(F.col("description"))), F.lpad((F.col("shipped_line_id") + 10_000_000).cast("string"), 9, "1"), shown(F.floor("cases").cast("string")), shown(amount(F.col("weight"))),
+        shown(F.col("cases").cast("string")), F.concat(F.lit("S"), F.col("shipped_line_id").cast("string")))
+    rows = sl.groupBy("bol_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shipped_line_id", row.alias("t")))), lambda s: s["t"]), "\n").alias("rows"))
     return rows.select(F.col("bol_id").alias("doc_id"), "page_number", F.concat(F.lit("STRAIGHT BILL OF LADING\n"), F.col("rows"), F.lit("\n")).alias("text"))
 
 
@@ -92,22 +93,23 @@ def remittance_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claim_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id (claim_line_id), text: one row of deductions each."""
-    cl = table(spark, sf, "claim_lines").where("adj_amount is not null and unit_price is not null")
+    """doc_id (claim_line_id), text: one row of deductions each; amounts that are missing leave their place empty, a quantity a dash."""
+    cl = table(spark, sf, "claim_lines")
+    shown = lambda c, none="": F.coalesce(c, F.lit(none))
     code = F.lpad(F.col("claim_line_id").cast("string"), 12, "7")
     text = F.concat(
-        F.lit("Associated Deductions\nKROGER Invoice number: "), F.lpad(F.col("claim_id").cast("string"), 10, "0"), F.lit("\nDeduction amount ( - ) $ "), amount(F.col("adj_amount")), F.lit("\n"), code, F.lit("\nITEM NAME "),
-        F.col("claim_line_id").cast("string"), F.lit("\n"), F.floor("adj_qty").cast("bigint").cast("string"), F.lit(" $ "), amount(F.col("unit_price")), F.lit(" "), F.coalesce(F.col("reason_code"), F.lit("6")), F.lit("\n(-) $ "),
-        amount(F.col("adj_amount")), F.lit(" shortage\n"))
+        F.lit("Associated Deductions\nKROGER Invoice number: "), F.lpad(F.col("claim_id").cast("string"), 10, "0"), F.lit("\nDeduction amount ( - ) $ "), shown(amount(F.col("adj_amount"))), F.lit("\n"), code, F.lit("\nITEM NAME "),
+        F.col("claim_line_id").cast("string"), F.lit("\n"), shown(F.floor("adj_qty").cast("bigint").cast("string"), "-"), F.lit(" $ "), shown(amount(F.col("unit_price"))), F.lit(" "), F.coalesce(F.col("reason_code"), F.lit("6")), F.lit("\n(-) $ "),
+        shown(amount(F.col("adj_amount"))), F.lit(" shortage\n"))
     return cl.select(F.col("claim_line_id").alias("doc_id"), text.alias("text"))
 
 
 def promotion_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id (claim_line_id), text: a header pair of amounts, far from the narrative, and the pair beside it."""
-    cl = table(spark, sf, "claim_lines").where("adj_amount is not null and adj_amount <> 0")
+    """doc_id (claim_line_id), text: a header pair of amounts, far from the narrative, and the pair beside it where there is an amount."""
+    cl = table(spark, sf, "claim_lines")
     text = F.concat(
-        F.lit("Deductions\nAssociated Promotions\nTotal $ 1.00 $ 2.00 and a long line of column headers that stands between\nPEYTONS ORAD LATE; claim "), F.col("claim_line_id").cast("string"), F.lit("\n$ "),
-        amount(F.col("adj_amount")), F.lit(" $ "), amount(F.col("adj_amount")), F.lit("\n"))
+        F.lit("Deductions\nAssociated Promotions\nTotal $ 1.00 $ 2.00 and a long line of column headers that stands between\nDEPOT ORAD LATE; claim "), F.col("claim_line_id").cast("string"), F.lit("\n"),
+        F.coalesce(F.concat(F.lit("$ "), amount(F.col("adj_amount")), F.lit(" $ "), amount(F.col("adj_amount"))), F.lit("no amount")), F.lit("\n"))
     return cl.select(F.col("claim_line_id").alias("doc_id"), text.alias("text"))
 
 
