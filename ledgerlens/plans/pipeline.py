@@ -1,7 +1,8 @@
 """Case folders to tables: scan, decode, classify, extract, choose the best document, roll up, write.
 
-One lazy plan over all cases; a case is the folder of its files. Texts of the same content are
-extracted once. Recognition of scans and pictures is a tier that is handed in; files that get no
+One lazy plan over all cases; a case is the folder of its files, noise and project folders are
+none. Texts of the same content are extracted once, by the tiers of their type: EDI, printed text,
+recognised text, and a model for what is still open, if one is handed in. Recognition of scans and pictures is a tier that is handed in; files that get no
 text, without one or from it, come out in a table of their own, ``unresolved``, and in the report
 of their case.
 """
@@ -18,10 +19,13 @@ from ledgerlens.extract import text as X
 from ledgerlens.functions.exprs import readable_chars
 from ledgerlens.operators.classify import classify_claim, classify_document
 from ledgerlens.operators.match import best_documents, best_invoice_lines, credit_memos, shipped_for_claims
-from ledgerlens.operators.receiving import other_shipment_pages
+from ledgerlens.extract.tiers import Tier, ladder
+from ledgerlens.operators.receiving import fold_receiving, other_shipment_pages
 from ledgerlens.operators.report import EXPECTED, case_documents, primary_totals
+from ledgerlens.session import cut
 from ledgerlens.sources import files
 
+
 def _edi(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike(r"INVOIC0[12]")).select(F.col("doc_id").alias("idoc_id"), F.col("text").alias("payload"))
 
@@ -77,41 +81,70 @@ EXTRACTORS: dict[str, tuple[Callable, Callable | None]] = {
     "remittance_advice": (lambda d: d.select("doc_id", *(X.first_match(F.col("text"), p).alias(n) for n, p in X.REMITTANCE_HEADER.items())), X.remittance_rows),
     "deduction_claim": (X.claim_headers, claim_lines),
 }
+# Confidence of what a tier reads, by document type; what pictures gave is worth as much at most.
 TEXT_CONFIDENCE = {"sales_invoice": 0.95, "bill_of_lading": 0.85, "proof_of_delivery": 0.75, "remittance_advice": 0.9, "deduction_claim": 0.9}
+PICTURE_CONFIDENCE = {"sales_invoice": 0.8, "bill_of_lading": 0.8, "proof_of_delivery": 0.75, "remittance_advice": 0.85, "deduction_claim": 0.85}
+EDI_CONFIDENCE, MODEL_CONFIDENCE = 0.92, 0.6
+
+
+def tiers(kind: str, ask: Callable[[str, DataFrame], DataFrame] | None = None) -> list[Tier]:
+    """The ladder of a document type over its rows, or its header where it has none: EDI for invoices, text, and ``ask(kind, docs)`` if given."""
+    head, rows = EXTRACTORS[kind]
+    text = Tier("text", rows or head, TEXT_CONFIDENCE[kind])
+    if kind == "sales_invoice":
+        message = Tier("edi", lambda d: edi.idoc_lines(_edi(d)).withColumnRenamed("idoc_id", "doc_id").withColumn("pos", F.col("line_seq")), EDI_CONFIDENCE)
+        out = [message, Tier("text", X.invoice_rows, TEXT_CONFIDENCE[kind])]
+    else:
+        out = [text]
+    return out if ask is None else [*out, Tier("model", lambda d: ask(kind, d), MODEL_CONFIDENCE)]
 
 
-def documents(spark: SparkSession, root: str, read_pictures: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def _in_cases(spark: SparkSession, root: str, least_files: int) -> DataFrame:
+    """The triaged files under ``root``; those outside case folders have a reason instead of a kind."""
+    raw = files.read_files(spark, root).withColumn("below", F.ltrim(F.expr(f"substring(path, {len(root.removeprefix('file:').rstrip('/')) + 1})"), F.lit("/")))
+    sorted_out = files.triage(raw)
+    cases = files.case_folders(raw.select(F.col("below").alias("path")), least_files).select(F.col("folder").alias("_folder"), F.lit(True).alias("_case"))
+    put = sorted_out.withColumn("_folder", files.folder(F.col("below"))).join(cases, "_folder", "left")
+    outside = F.col("_case").isNull() & F.col("kind").isNotNull()
+    return put.withColumns({"reason": F.when(outside, "not in a case folder").otherwise(F.col("reason")), "kind": F.when(~outside, F.col("kind"))}).drop("_folder", "_case", "below")
+
+
+def documents(spark: SparkSession, root: str, read_pictures: Callable[[DataFrame], DataFrame] | None = None, least_files: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents, skipped) of the files under ``root``.
 
-    documents: doc_id, case_id (the folder), path, content_id, text, doc_type, confidence. skipped: path, reason.
+    documents: doc_id, case_id (the folder), path, content_id, method ('text' or 'ocr'), text, doc_type, confidence. skipped: path, reason.
     ``read_pictures`` maps (path, content_id, content) of PDF and picture files to (path, content_id, text).
+    Folders of noise and of projects, and those with fewer than ``least_files`` readable files, are no cases.
     """
-    raw = files.read_files(spark, root)
-    sorted_out = files.triage(raw)
-    texts = files.decoded(sorted_out.where("kind = 'text'"))
+    sorted_out = _in_cases(spark, root, least_files)
+    texts = files.decoded(sorted_out.where("kind = 'text'")).withColumn("method", F.lit("text"))
     if read_pictures is not None:
-        texts = texts.unionByName(read_pictures(sorted_out.where("kind in ('pdf', 'image')").select("path", "content_id", "content")))
+        texts = texts.unionByName(read_pictures(sorted_out.where("kind in ('pdf', 'image')").select("path", "content_id", "content")).select("path", "content_id", "text", F.lit("ocr").alias("method")))
     paged = files.joined_pages(files.pages(texts), "path").select("path", F.col("full_text").alias("text"))
-    d = texts.select("path", "content_id").join(paged, "path")
+    d = texts.select("path", "content_id", "method").join(paged, "path")
     c = classify_document(F.col("text"), files.file_name(F.col("path")))
-    out = d.select(F.xxhash64("path").alias("doc_id"), files.folder(F.col("path")).alias("case_id"), "path", "content_id", "text", c.alias("c"))
-    return out.select("doc_id", "case_id", "path", "content_id", "text", "c.doc_type", "c.confidence"), sorted_out.where("reason is not null").select("path", "reason")
+    out = d.select(F.xxhash64("path").alias("doc_id"), files.folder(F.col("path")).alias("case_id"), "path", "content_id", "method", "text", c.alias("c"))
+    return out.select("doc_id", "case_id", "path", "content_id", "method", "text", "c.doc_type", "c.confidence"), sorted_out.where("reason is not null").select("path", "reason")
 
 
-def unresolved(spark: SparkSession, root: str, docs: DataFrame) -> DataFrame:
+def unresolved(spark: SparkSession, root: str, docs: DataFrame, least_files: int = 1) -> DataFrame:
     """Readable files under ``root`` that are not in ``docs``: doc_id, case_id, path, content_id, kind, doc_type by the file name, confidence 0."""
-    rest = files.triage(files.read_files(spark, root)).where("kind is not null").join(docs.select("path"), "path", "left_anti")
+    rest = _in_cases(spark, root, least_files).where("kind is not null").join(docs.select("path"), "path", "left_anti")
     c = classify_document(None, files.file_name(F.col("path")))
     return rest.select(F.xxhash64("path").alias("doc_id"), files.folder(F.col("path")).alias("case_id"), "path", "content_id", "kind", c["doc_type"].alias("doc_type"), F.lit(0.0).alias("confidence"))
 
 
-def extract(docs: DataFrame) -> dict[str, DataFrame]:
+def extract(docs: DataFrame, ask: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Header and row table of each document type; a content is read once and joined to every document that has it.
 
-    Documents of an unknown type are in none of them.
+    With ``ask`` the rows come down the ladder of the type, with their method and confidence, and a
+    model reads the documents that no other tier has rows of. Documents of an unknown type are in
+    none of the tables but in one of their own, ``unknown``, as a stub.
     """
-    out = {}
+    out = {"unknown": docs.where("doc_type = 'unknown'").select("doc_id", "case_id", "path", F.lit(0.0).alias("extraction_confidence"))}
     for kind, (head, rows) in EXTRACTORS.items():
+        if ask is not None and rows is not None:
+            rows = lambda d, kind=kind: ladder(d, "doc_id", tiers(kind, ask))
         own = docs.where(F.col("doc_type") == kind)
         once = own.groupBy("content_id").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
         back = own.select(F.col("doc_id").alias("own_id"), "case_id", "content_id").join(once.select("content_id", "doc_id"), "content_id").drop("content_id")
@@ -122,7 +155,9 @@ def extract(docs: DataFrame) -> dict[str, DataFrame]:
 
 
 def _best(docs: DataFrame) -> DataFrame:
-    scored = docs.withColumn("extraction_confidence", F.when(readable_chars(F.col("text")) > 0, F.element_at(F.create_map(*(F.lit(x) for kv in TEXT_CONFIDENCE.items() for x in kv)), F.col("doc_type"))))
+    by_type = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.col("doc_type"))
+    confidence = F.when(F.col("method") == "ocr", by_type(PICTURE_CONFIDENCE)).otherwise(by_type(TEXT_CONFIDENCE))
+    scored = docs.withColumn("extraction_confidence", F.when(readable_chars(F.col("text")) > 0, confidence))
     return best_documents(scored.where("doc_type <> 'unknown'").select("case_id", "doc_type", "doc_id", "path", "extraction_confidence"))
 
 
@@ -145,6 +180,15 @@ def links(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return out.join(credit_memos(claims, lines("remittance_advice", "remittance_line_id", "pos")), "claim_line_id", "left")
 
 
+def receiving(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The receiving record of each case, folded over its receipts in the order of their paths."""
+    p = tables["proof_of_delivery"].join(docs.select("doc_id", "path"), "doc_id")
+    records = p.select(
+        "case_id", "path", (F.col("shipped").isNotNull() | F.col("received").isNotNull()).alias("stamp"), "notes", F.col("shipped").cast("double").alias("shipped"), F.col("received").cast("double").alias("received"),
+        F.coalesce("shortage", F.lit(False)).alias("shortage"), F.array().cast("array<string>").alias("exceptions"))
+    return fold_receiving(records, "case_id", "path")
+
+
 def reports(docs: DataFrame, skipped: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """One row per case of any file: documents seen and missing, the best document per type, warnings for skipped files.
 
@@ -163,11 +207,12 @@ def reports(docs: DataFrame, skipped: DataFrame, unread: DataFrame | None = None
         F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "best", "warnings", F.coalesce("documents_unresolved", none).alias("documents_unresolved"))
 
 
-def run_cases(spark: SparkSession, root: str, out: str | None = None, read_pictures=None) -> dict[str, DataFrame]:
-    """All tables of the cases under ``root``, written below ``out`` if given."""
-    docs, skipped = documents(spark, root, read_pictures)
-    unread, found = unresolved(spark, root, docs), extract(docs)
-    tables = {"documents": docs, "skipped": skipped, "unresolved": unread, **found, "links": links(docs, found), "reports": reports(docs, skipped, unread)}
+def run_cases(spark: SparkSession, root: str, out: str | None = None, read_pictures=None, ask=None, least_files: int = 1) -> dict[str, DataFrame]:
+    """All tables of the cases under ``root``, written below ``out`` if given; see ``documents`` and ``extract``."""
+    docs, skipped = documents(spark, root, read_pictures, least_files)
+    docs = cut(docs)  # files are read, decoded and classified once, not once a table
+    unread, found = unresolved(spark, root, docs, least_files), extract(docs, ask)
+    tables = {"documents": docs, "skipped": skipped, "unresolved": unread, **found, "links": links(docs, found), "receiving": receiving(docs, found), "reports": reports(docs, skipped, unread)}
     if out is not None:
         for name, df in tables.items():
             write(df, f"{out}/{name}")

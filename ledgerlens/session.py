@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,8 +57,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` as a written table in the shared folder, laid out by the columns ``by``: later reads take only the columns and parts they need."""
+    """``df`` as a written table in the shared folder, laid out by the columns ``by``: later reads take only the columns and parts they need.
+
+    It stays until ``discard_stored``.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` wrote in this process; what reads them is void after it."""
+    jvm = spark.sparkContext._jvm
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -41,14 +41,14 @@ def triage(paths: DataFrame) -> DataFrame:
     return paths.where(~file_name(p).startswith(".") & ~e.isin(*IGNORED)).select(*paths.columns, kind.alias("kind"), reason.alias("reason"))
 
 
-def case_folders(paths: DataFrame) -> DataFrame:
-    """Folders with two or more readable files that are neither noise nor a project: folder, n_files."""
+def case_folders(paths: DataFrame, least: int = LEAST_CASE_FILES) -> DataFrame:
+    """Folders with ``least`` or more readable files that are neither noise nor a project: folder, n_files."""
     parts = F.split(F.col("path"), "/")
     noise = F.exists(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), lambda s: s.isin(*NOISE_DIRS) | s.endswith(NOISE_SUFFIXES[0]) | s.endswith(NOISE_SUFFIXES[1]))
     readable = extension(F.col("path")).isin([e for es in KINDS.values() for e in es]) & ~file_name(F.col("path")).startswith(".")
     marked = F.lower(file_name(F.col("path"))).isin(*PROJECT_FILES)
     per = paths.where(~noise).groupBy(folder(F.col("path")).alias("folder")).agg(F.count_if(readable).alias("n_files"), F.max(marked).alias("project"))
-    return per.where((F.col("n_files") >= LEAST_CASE_FILES) & ~F.col("project")).select("folder", "n_files")
+    return per.where((F.col("n_files") >= least) & ~F.col("project")).select("folder", "n_files")
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

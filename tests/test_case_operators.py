@@ -173,3 +173,16 @@ def test_amounts_print_and_parse_back(cents):
 
     spark = SparkSession.getActiveSession()
     assert one(spark, E.parse_amount(amount(F.col("a"))), a=cents / 100) == pytest.approx(cents / 100, abs=0.005)
+
+
+def test_stored_tables_are_discarded(spark):
+    import os
+
+    from ledgerlens.session import discard_stored, shared_folder, stored
+
+    df = stored(spark.range(10).selectExpr("id", "id % 3 as part"), "part")
+    assert df.where("part = 1").count() == 3 and df.columns == ["id", "part"]
+    folder = shared_folder(spark).removeprefix("file:")
+    assert any(n.startswith("table-") for n in os.listdir(folder))
+    discard_stored(spark)
+    assert not any(n.startswith("table-") for n in os.listdir(folder))

@@ -21,3 +21,37 @@ def test_a_case_is_extracted_and_linked_whole(spark, tmp_path):
     assert [(r.referenced_po, r.referenced_bol, r.shipped) for r in t["proof_of_delivery"].collect()] == [("4500012345", "123456", None)]
     got = {r.case_id.rsplit("/", 1)[1]: r for r in t["links"].collect()}
     assert {k: (r.claim_type, r.adj_amount, r.invoice_pos, r.bol_cases) for k, r in got.items()} == {"case_1": ("shortage", -60.0, 1, 7.0), "case_2": ("compliance", -150.0, None, None)}
+
+
+def test_noise_and_project_folders_are_no_cases_and_pods_fold(spark, tmp_path):
+    root = tmp_path / "in"
+    for name, texts in {"case_1": ("CASES SHIPPED 40\nProof of Delivery Receiver signature", "Proof of Delivery\nCASES RECEIVED 35\nReceiver signature"), "node_modules/x": ("a", "b"), "tool": ("c", "d"), "lone": ("Proof of Delivery Receiver signature",)}.items():
+        (root / name).mkdir(parents=True)
+        for k, t in enumerate(texts):
+            (root / name / f"pod_{k}.txt").write_text(t)
+    (root / "tool" / "Makefile").write_text("all:")
+    t = run_cases(spark, str(root), least_files=2)
+    assert {r.case_id.rsplit("/", 1)[1] for r in t["documents"].collect()} == {"case_1"}
+    assert {(r.path.split("/in/")[1], r.reason) for r in t["skipped"].collect() if "pod" in r.path} == {(f"{d}/pod_{k}.txt", "not in a case folder") for d, n in (("node_modules/x", 2), ("tool", 2), ("lone", 1)) for k in range(n)}
+    assert [(r.n_records, r.shipped, r.received, r.shortage) for r in t["receiving"].collect()] == [(2, 40.0, 35.0, True)]
+    assert {r.case_id.rsplit("/", 1)[1] for r in run_cases(spark, str(root))["documents"].collect()} == {"case_1", "lone"}
+
+
+def test_a_model_reads_what_no_other_tier_does(spark, tmp_path):
+    case = tmp_path / "in" / "case_1"
+    case.mkdir(parents=True)
+    (case / "invoice_90403395.txt").write_text(IDOC)
+    (case / "invoice_2.txt").write_text("Bill-To-Party\nDocument Number 77\n0010  08847 PCN CRSP  4 EA  20.00  80.00 USD\n")
+    (case / "invoice_3.txt").write_text("Bill-To-Party\nDocument Number 78\nfour cases of pecan crisp, twenty each\n")
+    (case / "note.txt").write_text("nothing that any rule knows")
+    asked = []
+
+    def ask(kind, docs):
+        asked.append(kind)
+        return docs.where(docs["text"].contains("four cases")).selectExpr("doc_id", "1 as pos", "cast(4 as double) as quantity", "cast(20 as double) as unit_price")
+
+    t = run_cases(spark, str(tmp_path / "in"), ask=ask)
+    path = {r.doc_id: r.path.rsplit("/", 1)[1] for r in t["documents"].collect()}
+    got = {path[r.doc_id]: (r.extraction_method, r.extraction_confidence, r.quantity) for r in t["sales_invoice_lines"].collect()}
+    assert got == {"invoice_90403395.txt": ("edi", 0.92, 4.0), "invoice_2.txt": ("text", 0.95, 4.0), "invoice_3.txt": ("model", 0.6, 4.0)} and "sales_invoice" in asked
+    assert [path[r.doc_id] for r in t["unknown"].collect()] == ["note.txt"]
