@@ -152,15 +152,20 @@ def invoice_number_crosscheck(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(i, "case_id").groupBy("claim_line_id").agg(F.sum("n").alias("n_invoices"), F.min(odd).alias("all_disagree"))
 
 
-@query(f"""WITH {_SCORED}, {_REMIT}, cm AS (SELECT c.claim_line_id, count(*) AS n FROM claim_lines c JOIN remit m ON m.case_id = c.case_id AND m.cm AND contains(m.num, c.claim_invoice_number) WHERE c.claim_invoice_number <> '' GROUP BY 1)
-SELECT c.claim_line_id, c.case_id, b.invoice_line_id, coalesce(floor(b.s * 1000 + 0.5e0) / 1000, 0e0) AS score, cm.n IS NOT NULL AS has_credit_memo
-FROM claim_lines c LEFT JOIN best b ON b.claim_line_id = c.claim_line_id LEFT JOIN cm ON cm.claim_line_id = c.claim_line_id""")
+@query(f"""SELECT c.claim_line_id, c.case_id, b.invoice_line_id, coalesce(floor(b.s * 1000 + 0.5e0) / 1000, 0e0) AS score, s.bol_cases, m.found_by AS memo_found_by, m.cm_amount AS memo_amount, x.all_disagree AS number_disagrees
+FROM claim_lines c LEFT JOIN (WITH {_SCORED} SELECT claim_line_id, invoice_line_id, s FROM best) b ON b.claim_line_id = c.claim_line_id LEFT JOIN ({ORACLES['bol_match_cases']}) s ON s.claim_line_id = c.claim_line_id
+LEFT JOIN ({ORACLES['remittance_cm_match']}) m ON m.claim_line_id = c.claim_line_id LEFT JOIN ({ORACLES['invoice_number_crosscheck']}) x ON x.claim_line_id = c.claim_line_id""")
 def flagship_linked_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Every claimed line with its invoice line and whether a credit memo names its invoice."""
+    """Every claimed line with its invoice line, the cases shipped, its credit memo and whether all invoices of the case have another number."""
     c, i = table(spark, sf, "claim_lines"), table(spark, sf, "invoice_lines")
-    memo = match.credit_memos(c, T.remittance_lines(spark, sf)).where("found_by = 'number'").select("claim_line_id", F.lit(True).alias("has_credit_memo"))
-    return c.select("claim_line_id", "case_id").join(match.best_invoice_lines(c, i), "claim_line_id", "left").join(memo, "claim_line_id", "left").select(
-        "claim_line_id", "case_id", "invoice_line_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("has_credit_memo", F.lit(False)).alias("has_credit_memo"))
+    best = match.best_invoice_lines(c, i)
+    memo = match.credit_memos(c, T.remittance_lines(spark, sf)).select("claim_line_id", F.col("found_by").alias("memo_found_by"), F.col("cm_amount").alias("memo_amount"))
+    shipped = match.shipped_for_claims(c, best, i, table(spark, sf, "shipped_lines")).select("claim_line_id", "bol_cases")
+    number = invoice_number_crosscheck(spark, sf).select("claim_line_id", F.col("all_disagree").alias("number_disagrees"))
+    out = c.select("claim_line_id", "case_id").join(best, "claim_line_id", "left")
+    for more in (shipped, memo, number):
+        out = out.join(more, "claim_line_id", "left")
+    return out.select("claim_line_id", "case_id", "invoice_line_id", F.coalesce("score", F.lit(0.0)).alias("score"), "bol_cases", "memo_found_by", "memo_amount", "number_disagrees")
 
 
 # ---- extraction: printed from the tables, read back
@@ -424,12 +429,14 @@ def edi_invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
     return edi.idoc_lines(table(spark, sf, "idocs"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)invoice') THEN 'text' ELSE 'fallback' END AS extraction_method, CASE WHEN regexp_matches(text, '(?i)invoice') THEN 0.95e0 ELSE 0.3e0 END AS extraction_confidence, length(text) AS n FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT concat('i', invoice_id) AS doc_id, 'invoice' AS extraction_method, 0.95e0 AS extraction_confidence, count(*) AS n_rows FROM invoice_lines WHERE invoice_id IN (SELECT invoice_id FROM invoices) GROUP BY 1
+UNION ALL SELECT concat('c', claim_line_id), 'claim', 0.9e0, 1 FROM claim_lines""")
 def tier_router(spark: SparkSession, sf: str) -> DataFrame:
-    """A cheap tier for texts that name an invoice, another one for the rest."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    size = lambda x: x.select("doc_id", F.length("text").cast("long").alias("n"))
-    return tiers.ladder(d, "doc_id", [tiers.Tier("text", lambda x: size(x.where(F.col("text").rlike("(?i)invoice"))), 0.95), tiers.Tier("fallback", size, 0.3)])
+    """Printed invoices and claims through two tiers: the reader of invoice rows, and that of claim rows for what it left open."""
+    printed = lambda t, letter: t.select(F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    d = printed(T.invoice_texts(spark, sf), "i").unionByName(printed(T.claim_texts(spark, sf), "c"))
+    rows = lambda read: lambda x: read(x).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return tiers.ladder(d, "doc_id", [tiers.Tier("invoice", rows(X.invoice_rows), 0.95), tiers.Tier("claim", rows(X.claim_rows), 0.9)])
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
