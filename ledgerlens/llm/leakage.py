@@ -198,7 +198,8 @@ def own_wording(texts: list[list[str]], s: LeakageSettings) -> list[np.ndarray]:
 class Surprise:
     """What a token tells in nats, given the two before it: counts over the different item texts
     without the item itself and others too few to make a standing wording, mixed with shorter contexts down to the share of the other items (and
-    of documents, where given) that hold the word, of at least ``LEAST``."""
+    of documents, where given) that hold the word, of at least ``LEAST``. A context yields to a
+    shorter one by the number of different words that follow it, ``MIX`` at least."""
 
     MIX, MOST, LEAST = 2.0, 8.0, 0.007
 
@@ -212,6 +213,7 @@ class Surprise:
             for k in range(2, len(padded)):
                 a, b, w = padded[k - 2 : k + 1]
                 self.grams.update(((a, b), (a, b, w), (b,), (b, w, 0)))
+        self.follow = Counter(g[:-1] if len(g) == 3 and g[2] != 0 else g[:1] for g in self.grams if len(g) == 3)
 
     def nats(self, t: list[str], share: dict[str, float] | None = None) -> np.ndarray:
         """``share``: of the documents that hold a word; without it nothing depends on the corpus."""
@@ -221,7 +223,8 @@ class Surprise:
             a, b, w = padded[k - 2 : k + 1]
             p = max(share[w] if share else self.LEAST, (self.spread[w] - self.less) / n)
             for context, gram in (((b,), (b, w, 0)), ((a, b), (a, b, w))):
-                p = (max(0, self.grams[gram] - self.less) + self.MIX * p) / (max(0, self.grams[context] - self.less) + self.MIX)
+                mix = max(self.MIX, self.follow[context])
+                p = (max(0, self.grams[gram] - self.less) + mix * p) / (max(0, self.grams[context] - self.less) + mix)
             out[k - 2] = min(self.MOST, -np.log(min(1.0, p)))
         return out
 
