@@ -15,8 +15,8 @@ GOODS = ("", "TAN", "ZTAN", "TAS")
 
 def _segments(idocs: DataFrame, *below: str) -> DataFrame:
     """The segments at the paths ``below`` an IDOC: idoc_id, idoc_seq, line_seq (of a line's), name, ordinal, fields."""
-    objects, bridge = nested.shred(idocs, "idoc_id", "payload", ENVELOPES)
-    own = bridge.where(F.col("path").isin([f"{e}/IDOC/{b}" for e in ENVELOPES for b in below])).join(objects.drop("name"), "object_id")
+    objects, bridge = nested.shred(idocs, "idoc_id", "payload", ENVELOPES, [f"{e}/IDOC/{b}" for e in ENVELOPES for b in below])
+    own = bridge.join(objects.drop("name"), "object_id")
     return own.select(F.col("record_id").alias("idoc_id"), F.col("ordinals")[1].alias("idoc_seq"), F.try_element_at("ordinals", F.lit(3)).alias("line_seq"), "name", "ordinal", "fields")
 
 
